@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import density_peaks as dp
+from brindle.llm import aq_knn, density_peaks as dp, near_duplicates as nd
 from brindle.llm.live import live_records
 from brindle.runtime import cut, table
 
@@ -23,6 +23,30 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return dp.describe_clusters(cut(_clusters(spark, d)))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    live = live_records(table(spark, d, "vectors"), ["vector", "collection_name"])
+    return aq_knn.similar_pairs(aq_knn.nearest(live, k=5, min_similarity=0.9), 0.9)
+
+
+def p2_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar records of the collection for every live record whose mmap_index is divisible by 20."""
+    live = cut(live_records(table(spark, d, "vectors"), ["vector", "collection_name", "mmap_index"]))
+    found = aq_knn.nearest(live, k=5, probes=None, queries=live.where("mmap_index % 20 = 0"))
+    return found.select("id", "rank", "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return nd.near_duplicate_groups(live_records(table(spark, d, "vectors"), ["text", "vector"]), width=3, text_similarity=0.6, vector_similarity=0.98)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return nd.group_pairs(cut(_groups(spark, d)))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
