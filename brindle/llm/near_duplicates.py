@@ -26,6 +26,11 @@ def normal_text(text):
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def no_text(text: str):
+    """NULL, or nothing but white space."""
+    return F.col(text).isNull() | F.col(text).rlike(r"(?U)^\s*$")
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -285,10 +290,10 @@ def near_duplicate_groups(
     like records without id and records with neither text nor usable vector.
     records: one row an id, with ``text`` and ``vector``; other columns are ignored.
     """
-    r = records.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), "text", "vector")
-    blank = F.col("text").isNull() | F.col("text").rlike(r"(?U)^\s*$")
-    words = r.where(~blank).select("id", normal_text(F.col("text")).alias("words")).where(F.size(F.split("words", " ")) >= width)
-    plain = r.where(blank & usable("vector", dim)).select("id", F.col("vector").cast("array<float>").alias("v"))
+    words, vector = normal_text(F.col("text")), F.when(no_text("text") & usable("vector", dim), F.col("vector").cast("array<float>"))
+    r = records.where(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), words.alias("words"), vector.alias("v"))
+    r = cut(r.where((F.size(F.split("words", " ")) >= width) | F.col("v").isNotNull()))
+    words, plain = r.where("v IS NULL").select("id", "words"), r.where("v IS NOT NULL").select("id", "v")
     same_text, same_vector = cut(_copies(words, "words")), cut(_copies(plain, "v"))
     texts, vectors = _numbered(words, same_text), _numbered(plain, same_vector)
     shift = 1 << 62  # uids of texts and vectors come from two counters
