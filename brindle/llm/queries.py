@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.llm import aq_knn, density_peaks as dp, near_duplicates as nd
+from brindle.llm import aq_knn, density_peaks as dp, fm_spans as fm, leakage, leximin as lex, mixing, near_duplicates as nd, parsimonious as plm
 from brindle.llm.live import live_records
 from brindle.runtime import cut, table
 
@@ -49,6 +49,79 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    live = live_records(table(spark, d, "vectors"), ["collection_name"])
+    return plm.characteristic_terms(plm.distinct_postings(table(spark, d, "postings"), live, table(spark, d, "doc_lengths")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return plm.outstanding_terms(_terms(spark, d))
+
+
+def p4_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most characteristic terms of every live record."""
+    return _terms(spark, d).where("place <= 5").select("collection_name", "id", "place", "term", F.round("probability", 6).alias("probability"))
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    scores = ["dense_score", "sparse_score", "score"]
+    results = lex.latest(table(spark, d, "search_results"), ["query_id", "id"], "returned_at", scores)
+    wanted = table(spark, d, "queries").groupBy("query_id").agg(F.max("k").alias("k"))
+    return lex.first_places(lex.leximin(results, "query_id", "id", scores), wanted, "query_id", "id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _places(spark, d).select("query_id", "id")
+
+
+def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return _places(spark, d).select("query_id", F.col("place").cast("bigint").alias("place"), "id", F.round(F.col("levels")[0], 6).alias("weakest"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).withColumn("share", F.round("share", 6))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return cut(mixing.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.plan_mixture(_sized(spark, d), table(spark, d, "mix_targets")).where("NOT reachable").select("source")
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document stands in the mixture."""
+    sized = _sized(spark, d)
+    return mixing.repetitions(sized, mixing.plan_mixture(sized, table(spark, d, "mix_targets")))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized = _sized(spark, d)
+    plan = mixing.plan_mixture(sized, table(spark, d, "mix_targets"))
+    return mixing.mixture_shares(mixing.repetitions(sized, plan), plan)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, _, copies = fm.shared_spans(table(spark, d, "documents"))
+    return fm.shared_pairs(pairs, copies)
+
+
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document recurs in others."""
+    docs = table(spark, d, "documents")
+    _, spans, copies = fm.shared_spans(docs)
+    return fm.shared_parts(docs, spans, copies)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
