@@ -35,29 +35,32 @@ def distinct_postings(postings: DataFrame, live: DataFrame | None, lengths: Data
     ``live`` (``id, collection_name``) is given, those of other records.
     """
     p = postings.where("collection_name IS NOT NULL AND id IS NOT NULL AND term IS NOT NULL")
-    if live is not None:
-        p = p.join(live.select("id", "collection_name"), ["id", "collection_name"], "left_semi")
-    p = p.groupBy("collection_name", "id", "term").agg(F.max("raw_count").alias("raw_count"), F.max("term_frequency").alias("tf"))
+    counted = p.where("raw_count > 0").select("collection_name", "id", "term", "raw_count")
     if lengths is not None:
+        # Parquet skips what has no NULLs, so this branch costs nothing where there is none.
         known = lengths.groupBy("collection_name", "id").agg(F.max("doc_length").alias("dl"))
-        lacking = p.where("raw_count IS NULL AND tf > 0").join(known, ["collection_name", "id"])
-        lacking = lacking.select("collection_name", "id", "term", F.round(F.col("tf") * F.col("dl")).cast("bigint").alias("raw_count"))
-        p = p.where("raw_count IS NOT NULL").select("collection_name", "id", "term", "raw_count").unionByName(lacking)
-    return p.where("raw_count > 0").select("collection_name", "id", "term", "raw_count")
+        lacking = p.where("raw_count IS NULL AND term_frequency > 0").join(known, ["collection_name", "id"])
+        estimate = F.round(F.col("term_frequency") * F.col("dl")).cast("bigint").alias("raw_count")
+        counted = counted.unionByName(lacking.select("collection_name", "id", "term", estimate).where("raw_count > 0"))
+    if live is not None:
+        # A hash table of a partition's live ids spares sorting the postings.
+        counted = counted.join(live.select("id", "collection_name").hint("shuffle_hash"), ["id", "collection_name"], "left_semi")
+    return counted.groupBy("collection_name", "id", "term").agg(F.max("raw_count").alias("raw_count"))
 
 
-def term_statistics(postings: DataFrame) -> DataFrame:
+def term_statistics(postings: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """``collection_name, term, df, share, n``: of a term the records that have it and its part of all words, of the
-    collection the number of records. postings: distinct ones."""
+    collection the number of records. postings: distinct ones; ``records`` (``collection_name, id``), if given, holds the same records and
+    is cheaper to count."""
     terms = postings.groupBy("collection_name", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("raw_count").alias("cf"))
     words = terms.groupBy("collection_name").agg(F.sum("cf").alias("words"))
-    records = postings.select("collection_name", "id").distinct().groupBy("collection_name").agg(F.count(F.lit(1)).alias("n"))
-    totals = words.join(records, "collection_name")
+    each = (postings if records is None else records).select("collection_name", "id").distinct()
+    totals = words.join(each.groupBy("collection_name").agg(F.count(F.lit(1)).alias("n")), "collection_name")
     return terms.join(totals, "collection_name").select("collection_name", "term", "df", (F.col("cf") / F.col("words")).alias("share"), "n")
 
 
 def characteristic_terms(
-    postings: DataFrame, weight: float = 0.1, rounds: int = 50, tolerance: float = 1e-5, least: float = 1e-4
+    postings: DataFrame, records: DataFrame | None = None, weight: float = 0.1, rounds: int = 50, tolerance: float = 1e-5, least: float = 1e-4
 ) -> DataFrame:
     """Terms that stay in their records' own models: ``collection_name, id, term, probability, place, raw_count, terms,
     weight, rival``.
@@ -67,10 +70,11 @@ def characteristic_terms(
     falls below ``least`` of the record's largest are common ones, and left out. For exact checks there are, with
     ``doc_length`` the sum of the record's counts, the term's ``weight``, ``raw_count / doc_length *
     ln((n - df + 0.5) / (df + 0.5) + 1)``, and the ``rival``, the largest weight of all other terms of the record (NULL if
-    it has none). postings: distinct ones (``distinct_postings``); an empty table gives no rows.
+    it has none). postings: distinct ones (``distinct_postings``), records: see ``term_statistics``; an empty table gives no
+    rows.
     """
-    stats = term_statistics(postings)
-    rows = postings.join(stats, ["collection_name", "term"])
+    stats = term_statistics(postings, records)
+    rows = postings.join(stats.hint("shuffle_hash"), ["collection_name", "term"])
     records = rows.groupBy("collection_name", "id").agg(F.collect_list(F.struct("term", "raw_count", "share", "df", "n")).alias("t"))
 
     def models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,7 +51,12 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     live = live_records(table(spark, d, "vectors"), ["collection_name"])
-    return plm.characteristic_terms(plm.distinct_postings(table(spark, d, "postings"), live, table(spark, d, "doc_lengths")))
+    live = cut(live)
+    postings, lengths = table(spark, d, "postings"), table(spark, d, "doc_lengths")
+    # The postings of a record lie together, so its repetitions vanish before the shuffle.
+    with_any = postings.where("raw_count > 0 OR raw_count IS NULL AND term_frequency > 0").select("collection_name", "id").distinct()
+    records = with_any.join(live, ["collection_name", "id"], "left_semi")
+    return plm.characteristic_terms(plm.distinct_postings(postings, live, lengths), records)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
