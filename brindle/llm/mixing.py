@@ -16,9 +16,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def count_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``documents`` with the number of tokens of each text instead of it, in ``tokens``; NULL and empty texts have none.
 
-    The vocabulary file is read once by each Python worker.
+    The vocabulary file is read once by each task. A column of the name ``tokens`` is replaced.
     """
-    keep = [c for c in documents.columns if c != text]
+    keep = [c for c in documents.columns if c not in (text, "tokens")]
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name in keep)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,4 +132,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from brindle.llm import oracle
+
+    return oracle.oracle_sql()
