@@ -85,6 +85,7 @@ def hybrid_search(
     if not 0 <= alpha <= 1 or oversample < 1:
         raise InvalidQuery(f"alpha {alpha} or oversample {oversample} is out of range")
     n = oversample_k(k, oversample)
+    records = records.drop("score", "dense_score", "sparse_score")
     none = records.select("id", F.lit(None).cast("double").alias("score")).limit(0)
     dense = dense_search(records, vector, n, metric, filter).select("id", "score") if vector is not None else none
     sparse = none
