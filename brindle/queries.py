@@ -273,7 +273,9 @@ def int8_codes(spark, d):
 
 
 def int8_search(spark, d):
-    return _shown(quantize.int8_search(records(spark, d), asked(spark, d), 20, Metric.EUCLIDEAN))
+    r = records(spark, d)
+    fitted = quantize.Int8.fit(r, Metric.EUCLIDEAN)
+    return _shown(fitted.search(fitted.build(r), asked(spark, d), 20))
 
 
 def binary_codes(spark, d):
@@ -282,7 +284,9 @@ def binary_codes(spark, d):
 
 
 def binary_search(spark, d):
-    return _shown(quantize.binary_search(records(spark, d), asked(spark, d), 20))
+    r = records(spark, d)
+    fitted = quantize.Binary.fit(r)
+    return _shown(fitted.search(fitted.build(r), asked(spark, d), 20))
 
 
 def binary_rerank(spark, d):

@@ -332,4 +332,10 @@ class Collection:
     def write_stream(self, stream: DataFrame, checkpoint: str):
         """Upserts of a stream of records, micro-batch by micro-batch; a batch that is repeated after a failure changes
         nothing, because the latest operation of an id counts."""
-        return stream.writeStream.foreachBatch(lambda rows, _: self.insert_frame(rows)).option("checkpointLocation", checkpoint)
+
+        def upsert(rows: DataFrame, _: int) -> None:
+            rows = rows.persist()  # a stateful batch must be evaluated once
+            self.insert_frame(rows)
+            rows.unpersist()
+
+        return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
