@@ -127,7 +127,7 @@ def test_hoisted_fields_are_pushed_down(spark, tmp_path):
 
 def test_streams(spark, db, tmp_path):
     src = str(tmp_path / "in")
-    rows = [("a", [1.0, 0.0], "{}", "x", 0, 0), ("a", [1.0, 0.0], "{}", "x", 0, 0), ("b", [0.0, 1.0], "{}", None, 1, 3700)]
+    rows = [("a", [1.0, 0.0], "{}", "x", 0, 100), ("a", [1.0, 0.0], "{}", "x", 0, 100), ("b", [0.0, 1.0], "{}", None, 1, 3700)]
     ops = spark.createDataFrame(rows, "id STRING, vector ARRAY<FLOAT>, payload STRING, text STRING, deleted INT, s BIGINT")
     ops.select("id", "vector", "payload", "text", F.timestamp_seconds("s").alias("created_at"), F.timestamp_seconds("s").alias("updated_at"), "deleted").write.parquet(src)
     once = ingest.deduplicated(ingest.read_operations(spark, src))
