@@ -50,14 +50,29 @@ def anchors(c: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray
     least = _slide(h, w, np.minimum)
     edge = np.zeros(w - 1, np.uint64)
     at = np.nonzero(_slide(np.r_[edge, least, edge], w, np.maximum) == h)[0]
-    # Of a run of the same anchor (a repeated character) the first place stands for all.
-    keep = np.r_[True, (h[at[1:]] != h[at[:-1]]) | (np.diff(at) > 1)] if len(at) else np.zeros(0, bool)
-    return h[at[keep]], at[keep]
+    return _thinned(h[at], at, w - 1)
+
+
+def _thinned(h: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without those between two equal anchors at most ``reach`` apart, of which every window that holds them holds one;
+    periodic text would have an anchor in every place."""
+    order = np.lexsort((at, h))
+    h, at = h[order], at[order]
+    close = (h[1:] == h[:-1]) & (np.diff(at) <= reach)
+    if not (close[1:] & close[:-1]).any():
+        return h, at
+    keep, last, places = np.ones(len(at), bool), int(at[0]), at.tolist()
+    for i, c in enumerate(close.tolist(), 1):
+        if c and i < len(close) and close[i] and places[i + 1] - last <= reach:
+            keep[i] = False
+        else:
+            last = places[i]
+    return h[keep], at[keep]
 
 
 class FMIndex:
-    """FM-index of a sequence of small integers; its suffixes are ordered by their first ``depth`` places, which suffices
-    for patterns of up to that length."""
+    """FM-index of a sequence of small integers that begins and ends with the least of them, which patterns don't hold. Its
+    suffixes are ordered by their first ``depth`` places, which suffices for patterns of up to that length."""
 
     def __init__(self, seq: np.ndarray, depth: int):
         self.n = n = len(seq)
