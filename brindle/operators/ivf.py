@@ -80,6 +80,21 @@ class IvfIndex:
             return dense_search(assigned, query, k, self.metric, filter, vector)
         return dense_search(assigned.where(F.col("cid").isin(self.probe(query, lists))), query, k, self.metric, filter, vector)
 
+    def insert(self, assigned: DataFrame, records: DataFrame, vector: str = "vector") -> DataFrame:
+        """``assigned`` with the given records in their lists; records of known ids are replaced."""
+        return self.delete(assigned, records).unionByName(self.assign(records, vector))
+
+    @staticmethod
+    def delete(assigned: DataFrame, ids: DataFrame) -> DataFrame:
+        """``assigned`` without the records of the given ``id``; unknown ones do no harm."""
+        return assigned.join(ids.select("id").distinct(), "id", "left_anti").select(*assigned.columns)
+
+    def rebuilt(self, assigned: DataFrame, lists: int = 256, vector: str = "vector") -> tuple["IvfIndex", DataFrame]:
+        """Centroids trained anew on what the lists hold, and the records in their new lists."""
+        records = assigned.drop("cid")
+        index = IvfIndex.train(records, self.metric, lists, vector=vector)
+        return index, index.assign(records, vector)
+
     def save(self, assigned: DataFrame, path: str) -> None:
         """Records by list, and centroids beside them."""
         assigned.write.mode("overwrite").partitionBy("cid").parquet(f"{path}/records")

@@ -60,46 +60,75 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: Metric) -> np.ndarray:
     return np.divide(q @ x.T, n, out=np.zeros((len(q), len(x))), where=n != 0)
 
 
+def _best(q: np.ndarray, qid: np.ndarray, qgroup, x: np.ndarray, ids: np.ndarray, xgroup, k: int, metric: Metric) -> pa.RecordBatch:
+    """The k best of a block of records for each query of a block."""
+    by_id = np.argsort(ids, kind="stable")
+    s = _scores(q, x, metric)[:, by_id]
+    if qgroup is not None:
+        s[qgroup[:, None] != xgroup[by_id]] = -np.inf
+    order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :k]
+    i = np.repeat(np.arange(len(q)), order.shape[1])
+    score = s[i, order.ravel()]
+    ok = np.isfinite(score)
+    return pa.RecordBatch.from_arrays([pa.array(qid[i[ok]].tolist(), pa.string()), pa.array(ids[by_id[order.ravel()[ok]]].tolist(), pa.string()), pa.array(score[ok])], names=["query_id", "id", "score"])
+
+
 def batch_knn(
-    queries: DataFrame, records: DataFrame, k: int = 10, metric: Metric | str = Metric.COSINE, vector: str = "vector", group: str | None = None, queries_at_once: int = 2000
+    queries: DataFrame,
+    records: DataFrame,
+    k: int = 10,
+    metric: Metric | str = Metric.COSINE,
+    vector: str = "vector",
+    group: str | None = None,
+    sent_queries: int = 20_000,
+    block_rows: int = 2000,
 ) -> DataFrame:
-    """``query_id, id, score, rank`` for a bounded set of queries (``query_id, vector``) against all records.
+    """``query_id, id, score, rank`` for a set of queries (``query_id, vector``) against all records.
 
-    Queries go out in chunks of ``queries_at_once`` with the tasks; each task keeps its k best a query (a matrix product in
-    double), and one window merges these few rows. With ``group``, a column of both, only records of the query's group
-    count. Ties: smaller id.
+    Up to ``sent_queries`` queries go out with the tasks that read the records, and nothing but each task's k best a query
+    is shuffled. More queries are divided into blocks of about ``block_rows``, the records into larger ones, and every two
+    blocks meet in a task of their own; nothing is gathered on the driver then. Scores are matrix products in double. With
+    ``group``, a column of both, only records of the query's group count. Ties (nine digits): smaller id. NULL vectors, and
+    vectors of another length than the first query's, are left out.
     """
-    m = Metric.of(metric)
-    names = ["query_id", vector] + ([group] if group else [])
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").cast("string").alias("query_id"), *[F.col(c) for c in names[1:]]).toPandas()
-    out = None
-    for start in range(0, max(1, len(asked)), queries_at_once):
-        part = asked.iloc[start : start + queries_at_once]
-        q = np.stack([np.asarray(v, np.float64) for v in part[vector]]) if len(part) else np.zeros((0, 1))
-        qid, qgroup = part["query_id"].to_numpy(), part[group].to_numpy() if group else None
-        dim = q.shape[1]
-
-        def best(batches: Iterator[pa.RecordBatch], q=q, qid=qid, qgroup=qgroup, dim=dim) -> Iterator[pa.RecordBatch]:
+    m, schema = Metric.of(metric), "query_id STRING, id STRING, score DOUBLE"
+    grouped = [F.col(group).cast("string").alias("g")] if group else [F.lit(None).cast("string").alias("g")]
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), *grouped)
+    first = asked.select(F.size("v").alias("n")).first()
+    dim = first["n"] if first else 0
+    asked = asked.where(F.size("v") == dim)
+    fitting = records.where(F.size(vector) == dim).select(F.col("id").cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), *grouped)
+
+    def parts(t) -> tuple:
+        x = np.asarray(pa.chunked_array([t.column("v")]).combine_chunks().flatten() if isinstance(t, pa.RecordBatch) else t["v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        return x, np.array(t.column("id").to_pylist(), object), np.array(t.column("g").to_pylist(), object) if group else None
+
+    count = asked.count()
+    if count <= sent_queries:
+        sent = [parts(t) for t in (asked.toArrow().slice(i, block_rows) for i in range(0, count, block_rows))]
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
-                x = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, dim)
-                ids = np.array(b.column("id").to_pylist(), object)
-                by_id = np.argsort(ids, kind="stable")
-                s = _scores(q, x, m)[:, by_id]
-                if qgroup is not None:
-                    s[qgroup[:, None] != np.array(b.column("g").to_pylist(), object)[by_id]] = -np.inf
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                i = np.repeat(np.arange(len(q)), order.shape[1])
-                score = s[i, order.ravel()]
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[i[ok]].tolist(), pa.string()), pa.array(ids[by_id[order.ravel()[ok]]].tolist(), pa.string()), pa.array(score[ok])], names=["query_id", "id", "score"])
-
-        fitting = records.where(F.size(vector) == dim).select(F.col("id").cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), *([F.col(group).alias("g")] if group else []))
-        found = fitting.mapInArrow(best, "query_id STRING, id STRING, score DOUBLE")
-        out = found if out is None else out.unionByName(found)
+                if b.num_rows:
+                    x, ids, g = parts(b)
+                    yield from (_best(q, qid, qg, x, ids, g, k, m) for q, qid, qg in sent)
+
+        found = fitting.mapInArrow(best, schema)
+    else:
+        nq, nx = -(-count // block_rows), max(1, -(-fitting.count() // (10 * block_rows)))
+
+        def placed(df: DataFrame, n: int, own: str, others: int, other: str, ask: bool) -> DataFrame:
+            mine = F.pmod(F.xxhash64("id"), F.lit(n)).alias(own)
+            return df.select("id", "v", "g", F.lit(ask).alias("ask"), mine, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))).alias(other))
+
+        def meet(t: pa.Table) -> pa.Table:
+            (q, qid, qg), (x, ids, g) = parts(t.filter(t["ask"])), parts(t.filter(pa.array(~np.asarray(t["ask"]))))
+            return pa.Table.from_batches([_best(q, qid, qg, x, ids, g, k, m)] if len(q) and len(x) else [], schema=pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())]))
+
+        met = placed(asked, nq, "b", nx, "c", True).unionByName(placed(fitting, nx, "c", nq, "b", False).select("id", "v", "g", "ask", "b", "c"))
+        found = met.groupBy("b", "c").applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def post_filter(records: DataFrame, query: Sequence[float], k: int, fetch: int, filter, metric: Metric | str = Metric.COSINE) -> DataFrame:

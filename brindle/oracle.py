@@ -171,6 +171,11 @@ def oracle_sql() -> dict[str, str]:
         "point_get": f"WITH {_LIVE} SELECT id, collection_name, payload, text FROM live WHERE id = (SELECT min(id) FROM live)",
         "collection_configs": "SELECT collection_name, coalesce(config->>'$.metric', 'cosine') AS metric, coalesce(config->>'$.index_type', 'HNSW') AS index_type, coalesce((config->>'$.bm25_k1')::DOUBLE, 1.5) AS bm25_k1, coalesce((config->>'$.bm25_b')::DOUBLE, 0.75) AS bm25_b, coalesce(config->>'$.quantization', 'None') AS quantization FROM collections",
         "payload_join": f"WITH {_LIVE} SELECT id, {_text('$.topic')} AS topic FROM live WHERE {_MEDICAL}",
+        "store_roundtrip": f"WITH {_REC} SELECT id, 64::BIGINT AS dimension, CASE WHEN id = (SELECT max(id) FROM rec) THEN 'new text' END AS text FROM rec WHERE id <> (SELECT min(id) FROM rec)",
+        "jsonl_roundtrip": f"WITH {_REC} SELECT id, text, 1::BIGINT AS v, round(sqrt(list_dot_product(vector, vector)), 4) AS length FROM rec",
+        "csv_roundtrip": f"WITH {_REC} SELECT id, round(sqrt(list_dot_product(vector, vector)), 4) AS length FROM rec",
+        "synthetic_vectors": "SELECT 'syn-' || i AS id, 32::BIGINT AS dimension, 1.0::DOUBLE AS length FROM range(1000) t(i)",
+        "stream_activity": "SELECT epoch(date_trunc('day', updated_at AT TIME ZONE 'UTC'))::BIGINT AS start, sum(CASE WHEN deleted = 0 THEN 1 WHEN deleted IS NOT NULL THEN 0 END)::BIGINT AS upserts, sum(CASE WHEN deleted <> 0 THEN 1 WHEN deleted IS NOT NULL THEN 0 END)::BIGINT AS deletes FROM vectors WHERE updated_at IS NOT NULL GROUP BY ALL",
         "recall_at_k": f"WITH {_REC}, {_BITS}, f AS (SELECT id FROM h {_TOP} 50), t AS (SELECT id FROM (SELECT id, {_COS} AS score FROM rec, q) {_TOP} 50) SELECT round(count(*) / 50, 6) AS recall FROM f JOIN t USING (id)",
         "percentile_floor": "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT round(value, 6) AS value FROM v WHERE i = floor((n - 1) * 0.95)",
         "percentile_round": "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT round(value, 6) AS value FROM v WHERE i = round((n - 1) * 0.99)",

@@ -5,6 +5,7 @@ The collection searched is the ``vectors`` table's present state: the latest row
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -12,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from brindle.functions import filters, text as T, vector as V
 from brindle.operators import bm25, evals, fusion, ivf, knn, quantize
 from brindle.plans import planner
-from brindle.runtime import table
-from brindle.sources.store import latest
+from brindle.runtime import ensure_checkpoint_dir, table
+from brindle.sources import files
+from brindle.sources.store import Db, latest
+from brindle.streaming import ingest
 from brindle.types import CollectionConfig, Fusion, Metric
 
 #: The text searched for, and the filters, in these queries and their SQL.
@@ -376,6 +379,56 @@ def payload_join(spark, d):
     return planner.join_payload(left, right, "topic", "topic").select("id", F.col("r_id").alias("topic"))
 
 
+# Sources and sinks
+
+
+def _folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+def store_roundtrip(spark, d):
+    """A collection that gets all records, loses one, gets another version of one, and is compacted."""
+    r, db = records(spark, d), Db.open(spark, _folder(spark))
+    c = db.create_collection_with(CONFIG)
+    c.insert_frame(r.select("id", "vector", "payload", "text"))
+    low, high = r.agg(F.min("id"), F.max("id")).first()
+    c.delete(low)
+    c.insert_text(high, [1.0] * 64, {"new": 1}, "new text")
+    c.compact()
+    return db.collection("vectors").records().select("id", F.size("vector").cast("bigint").alias("dimension"), F.when(F.col("id") == high, F.col("text")).alias("text"))
+
+
+def jsonl_roundtrip(spark, d):
+    path = _folder(spark)
+    records(spark, d).select("id", "vector", "text", F.to_json(F.struct(F.lit(1).alias("v"))).alias("payload")).write.json(path)
+    good, _ = files.read_jsonl(spark, path)
+    return good.select("id", "text", F.get_json_object("payload", "$.v").cast("bigint").alias("v"), F.round(V.norm("vector"), 4).alias("length"))
+
+
+def csv_roundtrip(spark, d):
+    path = _folder(spark)
+    r = records(spark, d).select("id", F.to_json("vector").alias("vector"), "text")
+    r.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    good, _ = files.read_csv(spark, path)
+    return good.select("id", F.round(V.norm("vector"), 4).alias("length"))
+
+
+def synthetic_vectors(spark, d):
+    s = files.synthetic(spark, 1000, 32)
+    return s.select("id", F.size("vector").cast("bigint").alias("dimension"), F.round(V.norm("vector"), 5).alias("length"))
+
+
+def stream_activity(spark, d):
+    """Upserts and deletes by day of the stored operations, read as a stream."""
+    source = _folder(spark)
+    ops = table(spark, d, "vectors").where("updated_at IS NOT NULL")
+    ops.select(*[c.split(" ")[0] for c in ingest.OPERATIONS.split(", ")]).write.parquet(source)
+    name = f"activity_{uuid.uuid4().hex}"
+    q = ingest.activity(ingest.read_operations(spark, source), "1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.unix_seconds("start").alias("start"), "upserts", "deletes")
+
+
 # Evaluation
 
 

@@ -23,7 +23,7 @@ from brindle.operators.ivf import IvfIndex
 from brindle.operators.knn import checked, dense_search, top
 from brindle.operators.quantize import Binary, Int8, binary_search, int8_search
 from brindle.plans import planner
-from brindle.types import RECORD_SCHEMA, CollectionConfig, Fusion, IndexType, Quantization
+from brindle.types import RECORD_SCHEMA, CollectionConfig, Fusion, IndexType, Quantization, SearchRequest
 
 LOG_SCHEMA = "seq BIGINT, op STRING, " + RECORD_SCHEMA
 RESULTS = ["id", "score", "dense_score", "sparse_score", "payload", "text"]
@@ -233,6 +233,14 @@ class Collection:
 
     checkpoint = compact
 
+    def recover(self) -> int:
+        """Operations that a reader applies over the snapshot. Batches without their success mark, the remains of failed
+        writes, are deleted; nothing else needs repair."""
+        for name in self.files.names("log"):
+            if not self.files.exists(f"log/{name}/_SUCCESS"):
+                self.files.delete(f"log/{name}")
+        return self.log().where("seq > 0").count()
+
     # Reads
 
     def get(self, id: str):
@@ -324,6 +332,11 @@ class Collection:
     def sql(self, statement: str, strict: bool = True) -> DataFrame:
         return planner.execute(planner.plan_sql(self.config, statement, len(self), strict), self.records())
 
+    def execute_search(self, request: SearchRequest, strategy: Fusion = Fusion()) -> DataFrame:
+        """A planned request: dense, sparse or hybrid, by the signals that it has."""
+        plan = planner.plan_search(self.config, request, len(self), strategy)
+        return planner.execute(plan, self.records(), self.postings() if request.query_text else None)
+
     def explain(self, statement: str, strict: bool = True) -> str:
         return planner.plan_sql(self.config, statement, len(self), strict).explain()
 

@@ -8,7 +8,7 @@ from brindle.errors import CollectionAlreadyExists, CollectionNotFound, Dimensio
 from brindle.sources import files
 from brindle.sources.store import Db
 from brindle.streaming import ingest
-from brindle.types import CollectionConfig, IndexType, Quantization
+from brindle.types import CollectionConfig, IndexType, Quantization, SearchRequest
 
 
 @pytest.fixture
@@ -34,7 +34,7 @@ def test_catalog(db):
             CollectionConfig(name, dim)
 
 
-def test_round_trip(db):
+def test_round_trip(db, tmp_path):
     c = db.create_collection_with(CollectionConfig("docs", 16))
     assert c.is_empty() and c.insert_batch(vectors()) == 200 and len(c) == 200
     for i in range(0, 200, 67):
@@ -58,6 +58,11 @@ def test_round_trip(db):
     assert again.query_hybrid([0.5] * 16, "vision", 3).count() == 3
     assert db.sql("SELECT * FROM docs WHERE VECTOR_SIM(vector, [" + ", ".join(["1.0"] * 16) + "]) > -2 AND new = 1").first()["id"] == "e0"
     assert "VectorScan" in again.explain("SELECT * FROM docs WHERE VECTOR_SIM(vector, [" + ", ".join(["1.0"] * 16) + "]) > 0")
+    found = again.execute_search(SearchRequest("docs", vector=tuple([0.5] * 16), query_text="vision", k=3))
+    assert found.count() == 3 and found.columns == ["id", "score", "dense_score", "sparse_score", "payload", "text"]
+    (tmp_path / "db/docs/log/batch=99").mkdir(parents=True)
+    again.insert("late", [0.1] * 16)
+    assert again.recover() == 1 and len(again) == 202 and "batch=99" not in again.files.names("log")
     with pytest.raises(DimensionMismatch):
         c.insert("bad", [1.0])
     with pytest.raises(DimensionMismatch):

@@ -48,6 +48,18 @@ def test_dense_search_is_exact(spark, some, metric):
     assert [r["id"] for r in batch.orderBy("rank").collect()] == got
 
 
+def test_batch_knn_in_blocks(spark, some):
+    x, df = some
+    df = df.withColumn("kind", F.pmod(F.xxhash64("id"), F.lit(3)).cast("string"))
+    q = df.select(F.col("id").alias("query_id"), "vector", "kind")
+    rows = lambda d: sorted(map(str, d.collect()))
+    for group in (None, "kind"):
+        sent = knn.batch_knn(q, df, 4, "euclidean", group=group)
+        blocks = knn.batch_knn(q, df, 4, "euclidean", group=group, sent_queries=10, block_rows=40)
+        assert rows(sent) == rows(blocks) and sent.count() == 2400
+    assert knn.batch_knn(q.limit(0), df, 4).count() == 0 and knn.batch_knn(q, df.limit(0), 4).count() == 0
+
+
 def test_dense_search_edges(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0], 5.0), ("b", [1.0, 0.0], 6.0), ("c", None, 1.0), ("d", [1.0], 1.0), ("e", [float("nan"), 1.0], 1.0)], "id STRING, vector ARRAY<FLOAT>, score DOUBLE")
     assert [r["id"] for r in knn.dense_search(df, [1, 0], 10).collect()] == ["a", "b", "e"]
@@ -117,6 +129,18 @@ def test_ivf_saved(spark, some, tmp_path):
     assert "PartitionFilters: [cid" in found._jdf.queryExecution().toString()
 
 
+def test_ivf_changes(spark, some):
+    x, df = some
+    index = ivf.IvfIndex.train(df, "euclidean", lists=8)
+    moved = frame(spark, [x[0] + 100, x[1]]).union(spark.createDataFrame([("new", x[2].tolist())], "id STRING, vector ARRAY<FLOAT>"))
+    changed = index.insert(index.assign(df), moved).cache()
+    assert changed.count() == 601 and index.search(changed, (x[0] + 100).astype(float), 1).first()["id"] == "v00000"
+    less = index.delete(changed, spark.createDataFrame([("new",), ("nobody",)], "id STRING"))
+    assert less.count() == 600
+    again, rows = index.rebuilt(less, lists=4)
+    assert len(again.centroids) == 4 and rows.count() == 600
+
+
 def test_ivf_of_nothing(spark, some):
     _, df = some
     index = ivf.IvfIndex.train(df.limit(0))
