@@ -19,7 +19,7 @@ def latest(rows: DataFrame, keys: list[str], at: str, columns: list[str]) -> Dat
     return last.select(*keys, *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
-def percentile_ranks(items: DataFrame, group: str, item: str, scores: list[str], large: int = 200_000, buckets: int = 64) -> DataFrame:
+def percentile_ranks(items: DataFrame, group: str, item: str, scores: list[str], large: int = 200_000) -> DataFrame:
     """``items`` with each score replaced by the part of the group's other items that are worse, from 0 to 1.
 
     NULL and NaN are worse than any value; equal values have equal ranks; the only item of a group has 0. Groups of at
@@ -31,8 +31,10 @@ def percentile_ranks(items: DataFrame, group: str, item: str, scores: list[str],
     sized = clean.join(sizes, group)
     rank = {c: F.percent_rank().over(Window.partitionBy(group).orderBy(F.asc_nulls_first(c))) for c in scores}
     small = sized.where(F.col("_n") <= large).select(group, item, *[r.alias(c) for c, r in rank.items()])
-    if sizes.where(F.col("_n") > large).isEmpty():
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= large:
         return small
+    buckets = int(min(4096, max(64, most // 50_000)))
     out = sized.where(F.col("_n") > large)
     for c in scores:
         v = f"_{c}"
@@ -66,8 +68,9 @@ def leximin(items: DataFrame, group: str, item: str, scores: list[str], large: i
 
 
 def first_places(levels: DataFrame, wanted: DataFrame, group: str, item: str, k: str = "k") -> DataFrame:
-    """``group, item, place, levels`` of each group's first ``k`` items (equal arrays: smaller item). wanted: ``group, k``, one row a group; groups
-    without row, or with NULL or negative ``k``, have none.
+    """``group, item, place, levels`` of each group's first ``k`` items (equal arrays: smaller item).
+
+    wanted: ``group, k``, one row a group; groups without row, or with NULL or negative ``k``, have none.
 
     The window keeps its ``k`` best by partition before the shuffle, so that a group of any size sends few rows.
     """

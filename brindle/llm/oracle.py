@@ -37,12 +37,29 @@ def _runs(key: str, text: str, table: str, n: int) -> str:
     return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS run FROM (SELECT {key}, {w} AS w FROM {table} WHERE {text} IS NOT NULL) WHERE len(w) >= {n}"
 
 
+_TEXTS = (
+    "st AS (SELECT id, text, vector FROM (SELECT * FROM vectors WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1) WHERE deleted = 0), "
+    "t AS (SELECT id, "
+    + _WORDS.format(t="text")
+    + r" AS w FROM st WHERE NOT regexp_full_match(text, '\s*')), sh AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM t WHERE len(w) >= 3), "
+    "n AS (SELECT id, count(*) AS n FROM sh GROUP BY id), j AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL), "
+    "v AS (SELECT id, vector::DOUBLE[] AS v FROM st WHERE (text IS NULL OR regexp_full_match(text, '\\s*')) AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0), "
+    "l AS (SELECT a, b FROM j JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= 0.6 * (x.n + y.n - c) UNION SELECT a.id, b.id FROM v a JOIN v b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) >= 0.98), "
+    "e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"WITH {_VECTORS}, s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM rec a JOIN rec b ON a.collection_name = b.collection_name AND a.id <> b.id), "
         "t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE s >= 0.9",
+        "p3_found": f"WITH RECURSIVE {_TEXTS} SELECT DISTINCT a AS id_a, b AS id_b FROM reach WHERE a < b",
         "p4_found": f"WITH {_WEIGHTS} SELECT id, term FROM o WHERE k = 1 AND terms >= 2 AND w >= 1.7 * next",
         "p5_found": f"WITH {_RANKS} SELECT query_id, id FROM p WHERE place <= k",
         "p5_ranking": f"WITH {_RANKS} SELECT query_id, place, id, round(levels[1], 6) AS weakest FROM p WHERE place <= k",
         "p6_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs('doc_id', 'text', 'documents', 10)}) JOIN ({_runs('item_id', 'passage', 'eval_passages', 10)}) USING (run)",
+        "p6_leaks": f"WITH i AS ({_runs('item_id', 'passage', 'eval_passages', 10).replace('SELECT DISTINCT', 'SELECT', 1)}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), d AS ({_runs('doc_id', 'text', 'documents', 10)}), "
+        "c AS (SELECT doc_id, item_id, count(*) AS runs FROM d JOIN i USING (run) GROUP BY ALL) SELECT doc_id, item_id, runs, round(runs / n, 6) AS share FROM c JOIN n USING (item_id)",
+        "p8_found": "WITH s AS (SELECT DISTINCT doc_id, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)), "
+        "m AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1), k AS (SELECT doc_id, h FROM s SEMI JOIN m USING (h)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id",
     }
