@@ -27,12 +27,17 @@ def tokens(text: Column | str, stopwords: bool = True, suffixes: bool = False, s
     ``longest`` bytes, without stop words. NULL text: NULL."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.transform(F.split(text, _SPLIT), lambda w: F.lower(F.trim(w, F.lit("'"))))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     keep = lambda w: F.octet_length(w).between(shortest, longest)
-    words = F.filter(words, lambda w: keep(w) & ~F.array_contains(stop, w)) if stopwords else F.filter(words, lambda w: keep(w))
+    words = F.filter(words, lambda w: keep(w) & ~w.isin(STOPWORDS)) if stopwords else F.filter(words, lambda w: keep(w))
     return F.transform(words, strip_suffix) if suffixes else words
 
 
+def once(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """``df`` with a costly column that is computed once a row: below a generator, no filter or projection that uses it can be
+    merged with it and compute it again."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def strip_suffix(word: Column) -> Column:
     """Without the first suffix, in the order tried, that leaves more than 3 bytes."""
     out = word

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -27,6 +28,8 @@ def dot(a, b) -> Column:
 
 
 def norm(a) -> Column:
+    if not isinstance(a, (str, Column)):
+        return F.lit(math.sqrt(sum(float(x) * float(x) for x in a)))  # once, not for every row
     return F.sqrt(_sum(F.transform(as_double(a), lambda x: x * x)))
 
 

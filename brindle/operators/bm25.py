@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.errors import NotFound
-from brindle.functions.text import query_weights, term_frequencies, tokens
+from brindle.functions.text import once, query_weights, term_frequencies, tokens
 from brindle.operators.knn import top
 
 
@@ -18,7 +20,7 @@ def idf(n, df):
 
 def doc_stats(records: DataFrame, text: str = "text") -> DataFrame:
     """``n, avgdl, total``: documents with at least one token, their mean length, and all tokens; one row."""
-    lengths = records.select(F.size(tokens(text)).alias("dl")).where("dl > 0")
+    lengths = once(records.select(text), F.size(tokens(text)), "dl").where("dl > 0")
     return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
 
 
@@ -29,13 +31,19 @@ class Bm25Index:
     postings: DataFrame
     k1: float = 1.5
     b: float = 0.75
+    lengths: DataFrame | None = None  # dl of every document; without it, lengths are taken from the postings
+    known: tuple[int, float] | None = None
 
     @classmethod
-    def build(cls, records: DataFrame, id_col: str = "id", text: str = "text", k1: float = 1.5, b: float = 0.75, **options) -> "Bm25Index":
-        """Documents without token aren't counted. One shuffle, by document and term; lengths are counted before it."""
-        words = records.select(F.col(id_col).alias("id"), tokens(text, **options).alias("tk")).where(F.size("tk") > 0)
-        rows = words.select("id", F.size("tk").cast("bigint").alias("dl"), F.explode("tk").alias("term"))
-        return cls(rows.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), k1, b)
+    def build(cls, records: DataFrame, id_col: str = "id", text: str = "text", k1: float = 1.5, b: float = 0.75, terms: Iterable[str] | None = None, **options) -> "Bm25Index":
+        """Documents without token aren't counted. One shuffle, by document and term; lengths are counted before it. With
+        ``terms`` only their postings are kept, enough for a query of these terms: statistics are still those of all."""
+        words = once(records.select(F.col(id_col).alias("id"), F.col(text).alias("text")), tokens("text", **options), "tk").where(F.size("tk") > 0)
+        lengths = words.select(F.size("tk").cast("bigint").alias("dl"))
+        if terms is not None:
+            words = words.withColumn("asked", F.filter("tk", lambda t: t.isin(list(terms))))
+        rows = words.select("id", F.size("tk").cast("bigint").alias("dl"), F.explode("tk" if terms is None else "asked").alias("term"))
+        return cls(rows.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), k1, b, lengths)
 
     def documents(self) -> DataFrame:
         return self.postings.select("id", "dl").distinct()
@@ -47,9 +55,12 @@ class Bm25Index:
         return df.withColumn("idf", idf(F.lit(n), F.col("df")))
 
     def stats(self) -> tuple[int, float]:
-        """Number of documents and their mean length, from one aggregate."""
-        row = self.documents().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        return row["n"], row["avgdl"] or 0.0
+        """Number of documents and their mean length, from one aggregate, the first time that they are needed."""
+        if self.known is None:
+            lengths = self.documents() if self.lengths is None else self.lengths
+            row = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+            self.known = row["n"], row["avgdl"] or 0.0
+        return self.known
 
     def score(self, terms: dict[str, int], candidates: DataFrame | None = None) -> DataFrame:
         """``id, score`` of documents with at least one of the terms; a term asked for twice counts twice.
@@ -64,11 +75,11 @@ class Bm25Index:
             return self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
         if candidates is not None:
             mine = mine.join(candidates.select("id").distinct(), "id", "left_semi")
-        weight = F.create_map(*[F.lit(x) for t, df in dfs.items() for x in (t, float(terms[t]), )])
-        rarity = F.create_map(*[F.lit(x) for t, df in dfs.items() for x in (t, df)])
+        weight = F.lit(0.0)
+        for t, df in sorted(dfs.items()):
+            weight = F.when(F.col("term") == t, terms[t] * math.log((n - df + 0.5) / (df + 0.5) + 1)).otherwise(weight)
         tf, longer = F.col("tf"), 1 - self.b + self.b * F.col("dl") / max(avgdl, 1.0)
-        part = F.element_at(weight, F.col("term")) * idf(F.lit(n), F.element_at(rarity, F.col("term"))) * tf * (self.k1 + 1) / (tf + self.k1 * longer)
-        return mine.groupBy("id").agg(F.sum(part).alias("score"))
+        return mine.groupBy("id").agg(F.sum(weight * tf * (self.k1 + 1) / (tf + self.k1 * longer)).alias("score"))
 
     def search(self, text: str, k: int = 10, candidates: DataFrame | None = None) -> DataFrame:
         """``id, score``: the k best; ties: smaller id."""
@@ -88,19 +99,22 @@ class Bm25Index:
         return self.stats()[0]
 
     def save(self, path: str) -> None:
-        """Postings in the order of terms, so that a query skips the row groups of other terms."""
-        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+        """Postings in the order of terms, so that a query skips the row groups of other terms, and the statistics."""
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        n, avgdl = self.stats()
+        self.postings.sparkSession.createDataFrame([(n, avgdl)], "n BIGINT, avgdl DOUBLE").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def load(cls, spark, path: str, k1: float = 1.5, b: float = 0.75) -> "Bm25Index":
-        return cls(spark.read.parquet(path), k1, b)
+        row = spark.read.parquet(f"{path}/stats").first()
+        return cls(spark.read.parquet(f"{path}/postings"), k1, b, known=(row["n"], row["avgdl"]))
 
 
 def sparse_search(records: DataFrame, text: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``records`` with ``score``, ``sparse_score``: the k best, of those with one of the terms. Without an index: one pass
     for the statistics, one that scores; nothing is shuffled but the k best."""
     weights = query_weights(text)
-    tk = records.withColumn("_tk", tokens("text")).where(F.size("_tk") > 0)
+    tk = once(records, tokens("text"), "_tk").where(F.size("_tk") > 0)
     counts = {t: F.size(F.filter("_tk", _is(t))) for t in weights}
     row = tk.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tk")).alias("avgdl"), *[F.sum((c > 0).cast("bigint")).alias(f"d{i}") for i, c in enumerate(counts.values())]).first()
     score, any_ = F.lit(0.0), F.lit(False)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brindle.errors import InvalidQuery
+from brindle.functions.text import query_weights
 from brindle.operators.bm25 import Bm25Index
 from brindle.operators.knn import dense_search, top
 from brindle.types import Fusion, Metric
@@ -90,7 +91,7 @@ def hybrid_search(
     dense = dense_search(records, vector, n, metric, filter).select("id", "score") if vector is not None else none
     sparse = none
     if text:
-        index = index or Bm25Index.build(records)
+        index = index or Bm25Index.build(records, terms=query_weights(text))
         if vector is not None:
             dense = dense.persist()
             sparse = index.search(text, n, dense)

@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brindle.errors import DimensionMismatch, InvalidQuery
-from brindle.functions import vector as V
 from brindle.functions.filters import compile_filter
 from brindle.types import Metric
 
@@ -31,7 +31,23 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def score_column(query: Sequence[float], metric: Metric | str, vector: str = "vector") -> Column:
-    return V.similarity(F.col(vector), query, metric)
+    """Score of a vector column against one query, in double; NULL for vectors of another length.
+
+    An Arrow function: only this column goes to Python, batch by batch, and a batch is one matrix product. The expressions
+    of ``functions.vector`` give the same, an element at a time.
+    """
+    q, m = np.array([[float(x) for x in query]]), Metric.of(metric)
+
+    @F.arrow_udf("double")
+    def score(v: pa.Array) -> pa.Array:
+        fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(v), q.shape[1]), False))
+        out = np.zeros(len(v))
+        if q.shape[1] and fits.any():
+            flat = (v if fits.all() else v.filter(pa.array(fits))).flatten()
+            out[fits] = _scores(q, np.asarray(flat, np.float64).reshape(-1, q.shape[1]), m)[0]
+        return pa.array(out, mask=~fits)
+
+    return score(F.col(vector))
 
 
 def dense_search(

@@ -142,7 +142,7 @@ def payload_fields(spark, d):
 
 
 def tokenize(spark, d):
-    tk = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("tk")).where("tk IS NOT NULL")
+    tk = T.once(table(spark, d, "documents").select("doc_id", "text"), T.tokens("text"), "tk").where("tk IS NOT NULL")
     return tk.select("doc_id", F.size("tk").cast("bigint").alias("n_tokens"), F.array_join(F.slice("tk", 1, 5), " ").alias("first"))
 
 
@@ -181,7 +181,7 @@ def bm25_candidates(spark, d):
 
 def bm25_batch(spark, d):
     """The k best records of its collection for every stored query."""
-    r = live(spark, d).select("collection_name", "id", T.tokens("text").alias("tk")).where(F.size("tk") > 0)
+    r = T.once(live(spark, d).select("collection_name", "id", "text"), T.tokens("text"), "tk").where(F.size("tk") > 0)
     words = r.select("collection_name", "id", F.size("tk").alias("dl"), F.explode("tk").alias("term"))
     postings = words.groupBy("collection_name", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = r.groupBy("collection_name").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tk")).alias("avgdl"))

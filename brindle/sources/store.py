@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from brindle.errors import CollectionAlreadyExists, CollectionNotFound, DimensionMismatch, NotFound
+from brindle.functions.text import query_weights
 from brindle.operators.bm25 import Bm25Index
 from brindle.operators.fusion import hybrid_search
 from brindle.operators.ivf import IvfIndex
@@ -284,9 +285,12 @@ class Collection:
             return False
         return json.loads(self.files.read("index/built.json"))["upto"] == max([self._current()["upto"], *self._batches()])
 
-    def postings(self) -> Bm25Index:
+    def postings(self, text: str | None = None) -> Bm25Index:
+        """The stored postings if they hold the present state, else new ones; for a text, those of its terms."""
         c = self.config
-        return Bm25Index.load(self.spark, f"{self.path}/index/postings", c.bm25_k1, c.bm25_b) if self._indexed() else Bm25Index.build(self.records(), k1=c.bm25_k1, b=c.bm25_b)
+        if self._indexed():
+            return Bm25Index.load(self.spark, f"{self.path}/index/postings", c.bm25_k1, c.bm25_b)
+        return Bm25Index.build(self.records(), k1=c.bm25_k1, b=c.bm25_b, terms=None if text is None else query_weights(text))
 
     # Searches
 
@@ -322,12 +326,12 @@ class Collection:
         return self._results(dense_search(self.records(), checked(vector, self.config.dimension), k, self.config.metric, filter))
 
     def query_text(self, text: str, k: int = 10) -> DataFrame:
-        hits = self.postings().search(text, k).join(self.records(), "id")
+        hits = self.postings(text).search(text, k).join(self.records(), "id")
         return self._results(top(hits.withColumn("sparse_score", F.col("score")), k))
 
     def query_hybrid(self, vector=None, text: str | None = None, k: int = 10, alpha: float = 0.7, strategy: Fusion = Fusion(), filter=None) -> DataFrame:
         v = None if vector is None else checked(vector, self.config.dimension)
-        return self._results(hybrid_search(self.records(), v, text, k, alpha, strategy, self.config.metric, self.postings() if text else None, filter))
+        return self._results(hybrid_search(self.records(), v, text, k, alpha, strategy, self.config.metric, self.postings(text) if text else None, filter))
 
     def sql(self, statement: str, strict: bool = True) -> DataFrame:
         return planner.execute(planner.plan_sql(self.config, statement, len(self), strict), self.records())
@@ -335,7 +339,7 @@ class Collection:
     def execute_search(self, request: SearchRequest, strategy: Fusion = Fusion()) -> DataFrame:
         """A planned request: dense, sparse or hybrid, by the signals that it has."""
         plan = planner.plan_search(self.config, request, len(self), strategy)
-        return planner.execute(plan, self.records(), self.postings() if request.query_text else None)
+        return planner.execute(plan, self.records(), self.postings(request.query_text) if request.query_text else None)
 
     def explain(self, statement: str, strict: bool = True) -> str:
         return planner.plan_sql(self.config, statement, len(self), strict).explain()
