@@ -20,11 +20,10 @@ from brindle.errors import CollectionAlreadyExists, CollectionNotFound, Dimensio
 from brindle.functions.text import query_weights
 from brindle.operators.bm25 import Bm25Index
 from brindle.operators.fusion import hybrid_search
-from brindle.operators.ivf import IvfIndex
+from brindle.operators.index import ExactIndex, ListIndex, build_index, index_class, load_index
 from brindle.operators.knn import checked, dense_search, top
-from brindle.operators.quantize import Binary, Int8, binary_search, int8_search
 from brindle.plans import planner
-from brindle.types import RECORD_SCHEMA, CollectionConfig, Fusion, IndexType, Quantization, SearchRequest
+from brindle.types import RECORD_SCHEMA, CollectionConfig, Fusion, Quantization, SearchRequest
 
 LOG_SCHEMA = "seq BIGINT, op STRING, " + RECORD_SCHEMA
 RESULTS = ["id", "score", "dense_score", "sparse_score", "payload", "text"]
@@ -264,17 +263,7 @@ class Collection:
         """Writes what searches can use instead of the records: postings, and IVF lists or codes as configured."""
         r = self.records()
         Bm25Index.build(r, k1=self.config.bm25_k1, b=self.config.bm25_b).save(f"{self.path}/index/postings")
-        if self.config.quantization is Quantization.SCALAR_INT8:
-            fitted = Int8.fit(r, self.config.metric)
-            fitted.build(r).write.mode("overwrite").parquet(f"{self.path}/index/codes")
-            self.files.write("index/int8.json", json.dumps([fitted.dmin, fitted.dscale]))
-        elif self.config.quantization is Quantization.BINARY:
-            fitted = Binary.fit(r)
-            fitted.build(r).write.mode("overwrite").parquet(f"{self.path}/index/codes")
-            self.files.write("index/binary.json", json.dumps(fitted.thresholds))
-        elif self.config.index_type is IndexType.IVF:
-            ivf = IvfIndex.train(r, self.config.metric)
-            ivf.save(ivf.assign(r), f"{self.path}/index/ivf")
+        build_index(r, self.config).save(f"{self.path}/index/dense")
         self.files.write("index/built.json", json.dumps({"upto": max([self._current()["upto"], *self._batches()])}))
 
     save_indexes = rebuild_index
@@ -295,24 +284,17 @@ class Collection:
     # Searches
 
     def query(self, vector: Sequence[float], k: int = 10) -> DataFrame:
-        """The k nearest. Quantisation, if configured, decides before the index type."""
-        q, c = checked(vector, self.config.dimension), self.config
-        if c.quantization is Quantization.SCALAR_INT8:
-            if self._indexed():
-                dmin, dscale = json.loads(self.files.read("index/int8.json"))
-                found = Int8(tuple(dmin), tuple(dscale), c.metric).search(self.spark.read.parquet(f"{self.path}/index/codes"), q, k)
-            else:
-                found = int8_search(self.records(), q, k, c.metric)
-        elif c.quantization is Quantization.BINARY:
-            if self._indexed():
-                found = Binary(tuple(json.loads(self.files.read("index/binary.json")))).search(self.spark.read.parquet(f"{self.path}/index/codes"), q, k)
-            else:
-                found = binary_search(self.records(), q, k, c.metric)
-        elif c.index_type is IndexType.IVF and self._indexed():
-            index, rows = IvfIndex.load(self.spark, f"{self.path}/index/ivf")
-            found = index.search(rows, q, k)
+        """The k nearest, by the stored index if it holds the present state, else by one built for this query; exact scans need
+        none."""
+        q, kind = checked(vector, self.config.dimension), index_class(self.config)
+        if kind is ExactIndex:
+            found = dense_search(self.records(), q, k, self.config.metric)
+        elif self._indexed():
+            found = load_index(self.spark, f"{self.path}/index/dense").search(q, k)
+        elif kind is ListIndex:
+            found = dense_search(self.records(), q, k, self.config.metric)
         else:
-            found = dense_search(self.records(), q, k, c.metric)
+            found = kind.build(self.records(), self.config).search(q, k)
         return self._results(found.withColumn("dense_score", F.col("score")))
 
     @staticmethod
