@@ -6,7 +6,7 @@ import math
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -22,7 +22,8 @@ def _percentile(column: str, place: Callable[[Column], Column]) -> Column:
 
 
 def percentile_floor(column: str, p: float) -> Column:
-    """Aggregate: the value at place ``floor((n - 1) p / 100)``. For latencies, of which there are few thousand."""
+    """Aggregate: the value at place ``floor((n - 1) p / 100)``. For the few thousand latencies of a measurement;
+    ``exact_percentile`` is for groups of any size."""
     return _percentile(column, lambda last: F.floor(last * p / 100))
 
 
@@ -31,26 +32,30 @@ def percentile_round(column: str, p: float) -> Column:
     return _percentile(column, lambda last: F.round(last * p / 100))
 
 
-def exact_percentile(values: DataFrame, column: str, p: float, rounding: str = "floor") -> DataFrame:
-    """``value``: the same of a column of any size, without gathering it: distinct values are counted, and the one in which
-    the place falls is found from running sums over ranges of values."""
-    from pyspark.sql import Window
-
-    v = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("m"))
-    n = v.agg(F.sum("m")).first()[0] or 0
-    x = (n - 1) * p / 100
-    place = math.floor(x) if rounding == "floor" else math.floor(x + 0.5)
-    cuts = values.approxQuantile(column, [i / 64 for i in range(1, 64)], 0.001) if n else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(column))) if cuts else F.lit(0)
-    v = v.withColumn("b", bucket)
-    sums = {r["b"]: r["s"] for r in v.groupBy("b").agg(F.sum("m").alias("s")).collect()}
-    before = 0
-    for b in sorted(sums):
-        if before + sums[b] > place:
-            w = Window.partitionBy("b").orderBy(column)
-            return v.where(F.col("b") == b).withColumn("u", F.sum("m").over(w)).where(F.col("u") > place - before).agg(F.min(column).alias("value"))
-        before += sums[b]
-    return v.agg(F.min(column).alias("value"))
+def exact_percentile(values: DataFrame, column: str, p: float, rounding: str = "floor", by: str | None = None, buckets: int = 64) -> DataFrame:
+    """``value``, or ``by, value`` for each group: the same of groups of any size, without gathering one anywhere.
+
+    Distinct values are counted and divided at approximate quantiles; running sums over the few buckets tell the one in
+    which the place lies, and only its values are counted up. NULLs are left out; a group without value has no row.
+    """
+    key = by or "_all"
+    rows = values.where(F.col(column).isNotNull()).select(*([by] if by else [F.lit(0).alias(key)]), F.col(column).cast("double").alias("_v"))
+    counts = rows.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    cuts = rows.groupBy(key).agg(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_n"))
+    x = (F.col("_n") - 1) * p / 100
+    place = (F.floor(x) if rounding == "floor" else F.floor(x + 0.5)).alias("_place")
+    placed = counts.join(cuts.select(key, "_cuts", place), key).withColumn("_b", F.size(F.filter("_cuts", _below(F.col("_v")))))
+    sums = placed.groupBy(key, "_b", "_place").agg(F.sum("_m").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(key).orderBy("_b")) - F.col("_s")
+    bucket = sums.withColumn("_before", before).where((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_s")))
+    upto = F.sum("_m").over(Window.partitionBy(key, "_b").orderBy("_v")) + F.col("_before")
+    inside = placed.drop("_place").join(bucket.select(key, "_b", "_before", "_place"), [key, "_b"]).withColumn("_upto", upto)
+    found = inside.where(F.col("_upto") > F.col("_place")).groupBy(key).agg(F.min("_v").alias("value"))
+    return found if by else found.select("value")
+
+
+def _below(value: Column):
+    return lambda cut: cut < value
 
 
 def recall(found: Sequence, truth: Sequence, k: int) -> float:

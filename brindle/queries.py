@@ -228,15 +228,17 @@ def fuse_batch(spark, d):
     rows = table(spark, d, "search_results").where("query_id IS NOT NULL AND id IS NOT NULL")
     last = rows.groupBy("query_id", "id").agg(F.max_by(F.struct("dense_score", "sparse_score"), "returned_at").alias("r")).select("query_id", "id", "r.*")
     q = table(spark, d, "queries").select("query_id", "k", F.coalesce("alpha", F.lit(0.7)).alias("alpha"))
-    w = Window.partitionBy("query_id")
+    sides = ("dense_score", "sparse_score")
+    # Ranges are aggregated before they are joined back, so a query with very many results is never in one task.
+    ranges = last.groupBy("query_id").agg(*[f(c).alias(f"{n}_{c}") for c in sides for n, f in (("lo", F.min), ("hi", F.max))])
 
     def norm(c: str) -> Column:
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
+        lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
         return F.coalesce(F.when(F.col(c).isNotNull(), F.when(hi - lo < 1e-9, 1.0).otherwise((F.col(c) - lo) / (hi - lo))), F.lit(0.0))
 
-    n = last.select("query_id", "id", norm("dense_score").alias("dn"), norm("sparse_score").alias("sn")).join(q, "query_id")
+    n = last.join(ranges, "query_id").select("query_id", "id", norm("dense_score").alias("dn"), norm("sparse_score").alias("sn")).join(q, "query_id")
     fused = n.select("query_id", "k", "id", (F.col("alpha") * F.col("dn") + (1 - F.col("alpha")) * F.col("sn")).alias("score"))
-    rank = F.row_number().over(w.orderBy(F.desc(F.round("score", 9)), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return fused.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
@@ -449,7 +451,7 @@ def percentile_round(spark, d):
 
 
 def percentile_by_type(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(evals.percentile_floor("value", 50), 6).alias("p50"))
+    return evals.exact_percentile(table(spark, d, "events"), "value", 50, by="event_type").select("event_type", F.round("value", 6).alias("p50"))
 
 
 _NOT_QUERIES = {"state", "live", "usable", "records", "asked", "table", "latest", "dataclass"}

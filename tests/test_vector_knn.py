@@ -156,5 +156,7 @@ def test_evals(spark):
         floor, near = int(99 * p / 100) + 1, int(99 * p / 100 + 0.5) + 1
         assert v.agg(evals.percentile_floor("v", p)).first()[0] == floor == evals.exact_percentile(v, "v", p).first()[0]
         assert v.agg(evals.percentile_round("v", p)).first()[0] == near == evals.exact_percentile(v, "v", p, "round").first()[0]
-    assert evals.exact_percentile(v.limit(0), "v", 50).first()[0] is None
+    assert evals.exact_percentile(v.limit(0), "v", 50).count() == 0
+    g = spark.createDataFrame([(k, float(i % 7)) for i in range(500) for k in ("a", "b")] + [("c", 4.0), ("d", None)], "k STRING, v DOUBLE")
+    assert {tuple(r) for r in evals.exact_percentile(g, "v", 50, by="k").collect()} == {("a", 3.0), ("b", 3.0), ("c", 4.0)}
     assert evals.timed(lambda: None, 10)["qps"] > 0
