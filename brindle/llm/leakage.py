@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from brindle.llm.live import portions
 from brindle.llm.near_duplicates import MULTIPLIERS, _mix
 
 WORD = re.compile(r"[^\W_]+")
@@ -210,8 +211,7 @@ def leaked_items(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words()
             for whole in batches:
-                for at in range(0, whole.num_rows, 500):
-                    b = whole.slice(at, 500)
+                for b in portions(whole, "text", 500):
                     doc, r = index.search(b.column("text").to_pylist(), words)
                     n = len(index.item) + 1
                     both, count = np.unique(doc * n + np.searchsorted(items_sorted := np.unique(index.item), index.item[r]), return_counts=True)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 DIM = 64
@@ -53,6 +56,18 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def portions(batch: pa.RecordBatch, text: str, rows: int, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``chars`` bytes of text, one row at least, so that long texts don't fill a
+    worker's memory with words."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + chars, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def sample(df: DataFrame, n: int, rows: int, id_col: str = "id") -> DataFrame:
     """About ``rows`` of the ``n`` rows, chosen by a hash of the id; all if there are no more."""
     if n <= rows:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm.components import connected_components
-from brindle.llm.live import lists, matrix, unit, usable
+from brindle.llm.live import matrix, portions, unit, usable
 from brindle.runtime import cut
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
@@ -197,8 +197,7 @@ def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for b in portions(whole, "words", 2000):
                 sig, has = signatures(*shingles(b.column("words").to_pylist()), count)
                 key = band_keys(sig, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(b.column("uid"))[has], key.shape[1]))], names=["key", "uid"])
@@ -220,8 +219,7 @@ def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in portions(whole, "x", 1000):
                 yield b.select(["a", "b"]).filter(pa.array(alike(b.column("x").to_pylist(), b.column("y").to_pylist(), shingles)))
 
     def same(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:

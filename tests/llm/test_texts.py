@@ -264,3 +264,13 @@ def test_shared_spans(spark, options):
 def test_spans_of_nothing(spark):
     p, s, c = fm.shared_spans(spark.createDataFrame([], "doc_id BIGINT, text STRING"))
     assert fm.shared_pairs(p, c).count() == 0 and s.count() == 0
+
+
+def test_portions():
+    import pyarrow as pa
+
+    from brindle.llm.live import portions
+
+    b = pa.RecordBatch.from_pydict({"t": ["a" * n for n in (5, 5, 100, 1, 1, 0)] + [None, "b"]})
+    assert [p.num_rows for p in portions(b, "t", 3, 10)] == [2, 1, 3, 2]
+    assert sum(([*p.column("t").to_pylist()] for p in portions(b.slice(1, 5), "t", 2, 10)), []) == b.slice(1, 5).column("t").to_pylist()
