@@ -46,7 +46,7 @@ class Words:
             self.known.clear()
         known, words, out = self.known, [], []
         for t in texts:
-            own = WORD.findall(t.lower())
+            own = WORD.findall(t.lower()) if "İ" not in t else [w.lower() for w in WORD.findall(t)]  # its small letter is two characters
             words.append(own)
             for w in own:
                 h = known.get(w)

@@ -22,8 +22,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D
 
 
 def normal_text(text):
-    """Words in lower case, with single spaces between them."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    """Words in lower case, with single spaces between them. Words are found first: a capital may become two characters."""
+    return F.lower(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
 
 
 def no_text(text: str):
