@@ -42,7 +42,7 @@ class Words:
 
     def __call__(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """The texts' words, their hashes, and where each text's begin (and the last's end)."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         known, words, out = self.known, [], []
         for t in texts:

@@ -34,6 +34,10 @@ def count_tokens(documents: DataFrame, text: str = "text", tokenizer: str = TOKE
     return documents.select(*keep, text).mapInArrow(count, f"{rest}, tokens BIGINT")
 
 
+def _source_name(column: str):
+    return F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
+
+
 def water_fill(tokens: dict[str, int], share: dict[str, float], repeats: dict[str, int]) -> dict[str, float]:
     """Tokens of each source in a mixture as large as all sources: what exceeds a source's ``tokens * repeats`` goes to the
     others in proportion to their shares, again and again, until none exceeds. If all sources are at their limit the
@@ -62,7 +66,7 @@ def plan_mixture(sized: DataFrame, targets: DataFrame) -> DataFrame:
     1, a negative one 0; a source listed twice has the sum of its shares and the larger ``max_repeats``. Only one row a
     listed source reaches the driver.
     """
-    name = F.lower(F.trim("source"))
+    name = _source_name("source")
     listed = (
         targets.where("source IS NOT NULL").groupBy(name.alias("source"))
         .agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
@@ -88,7 +92,7 @@ def repetitions(sized: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed:
     slots, as many as are nearest to the missing tokens; a document stands in at most ``max_repeats`` times. Sums of tokens
     by source and slot decide, so no source is ordered or gathered anywhere.
     """
-    docs = sized.select(F.col(id_col).alias("doc_id"), F.lower(F.trim("source")).alias("source"), "tokens")
+    docs = sized.select(F.col(id_col).alias("doc_id"), _source_name("source").alias("source"), "tokens")
     docs = docs.withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(slots)))
     p = plan.select("source", F.floor("epochs").alias("whole"), ((F.col("epochs") - F.floor("epochs")) * F.col("tokens")).alias("missing"))
     sums = docs.join(p, "source").groupBy("source", "slot", "missing").agg(F.sum("tokens").alias("t"))

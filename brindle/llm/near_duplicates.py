@@ -45,7 +45,7 @@ class Shingler:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all texts, those of a text sorted, and where each text's begin (and the last's end)."""
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         known, words, sizes = self.known, [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):

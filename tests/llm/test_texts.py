@@ -167,7 +167,7 @@ def test_water_filling():
 
 def test_mixture(spark):
     rng = random.Random(4)
-    docs = [(i, rng.choice(["a", " A ", "b", "c", "other", None]), rng.randint(0, 50)) for i in range(4000)]
+    docs = [(i, rng.choice(["a", " A\t", "b", "c", "other", None]), rng.randint(0, 50)) for i in range(4000)]
     sized = spark.createDataFrame(docs, "doc_id BIGINT, source STRING, tokens BIGINT")
     targets = spark.createDataFrame([("a", 0.2, 2), ("B", 0.7, 2), ("c", 0.05, None), ("gone", 0.05, 3), (None, 0.1, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
     plan = mixing.plan_mixture(sized, targets)
