@@ -212,3 +212,34 @@ def test_near_duplicates_of_nothing(spark):
     assert nd.group_pairs(nd.near_duplicate_groups(df)).count() == 0
     long = spark.createDataFrame([("a", "w " * 100_000, None), ("b", "w " * 100_000 + "v", None)], "id STRING, text STRING, vector ARRAY<FLOAT>")
     assert nd.near_duplicate_groups(long, width=3, text_similarity=0.3).count() == 2
+
+
+def exact(x, k):
+    """Cosines of the vectors as the search keeps them, and each one's k nearest others."""
+    u = x.astype(np.float32).astype(np.float64)
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    return s, np.argsort(-s, axis=1)[:, :k]
+
+
+@pytest.mark.parametrize(["least", "block_rows"], [(0.9, 4096), (0.9, 100), (None, 4096)])
+def test_nearest_among_near_copies(spark, least, block_rows):
+    rng = np.random.default_rng(12)
+    x, _ = clusters(rng, [400, 300, 300])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + 0.2 * rng.standard_normal((334, 64)) / 8
+    ids = [f"r{i:04d}" for i in range(1000)]
+    s, best = exact(x, 5)
+    got = {(r["id"], r["neighbour"]) for r in aq_knn.nearest(frame(spark, [(i, "c", v.tolist()) for i, v in zip(ids, x)]), 5, min_similarity=least, block_rows=block_rows).collect()}
+    assert got == {(ids[i], ids[j]) for i in range(1000) for j in best[i] if least is None or s[i, j] >= least}
+
+
+def test_cells_that_are_left_out_hold_nothing_similar():
+    x, _ = clusters(np.random.default_rng(14), [300] * 6)
+    x = np.concatenate([x, x[:200] + 0.3 * np.random.default_rng(15).standard_normal((200, 64)) * np.linalg.norm(x[:200], axis=1, keepdims=True) / 8])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    cells, count = aq_knn.Cells(x, 32).met(x, 0.9)
+    start = np.r_[0, np.cumsum(count)]
+    met = [set(cells[a:b].tolist()) for a, b in zip(start, start[1:])]
+    assert all(cells[start[j]] in met[i] for i, j in zip(*np.nonzero(x @ x.T >= 0.9))) and count.mean() < 20
