@@ -46,6 +46,18 @@ def test_density_peaks(spark, block_rows):
     assert all(got[f"r{i:04d}"] is None for i in range(760, 800))
 
 
+@pytest.mark.parametrize("block_rows", [2048, 150])
+def test_near_copies_are_a_cluster(spark, block_rows):
+    rng = np.random.default_rng(16)
+    x, _ = clusters(rng, [300, 200])
+    near = rng.standard_normal(64) + 0.05 * rng.standard_normal((250, 64))
+    same = np.repeat(rng.standard_normal((1, 64)), 30, axis=0)
+    rows = [(f"r{i:04d}", "c", v.tolist()) for i, v in enumerate(np.concatenate([x, near, same]))]
+    got = {r["id"]: r["cluster_id"] for r in dp.density_peaks(frame(spark, rows), block_rows=block_rows).collect()}
+    names = [{got[f"r{i:04d}"] for i in range(a, b)} for a, b in ((0, 300), (300, 500), (500, 750), (750, 780))]
+    assert all(len(n) == 1 for n in names) and len(set().union(*names)) == 4 and None not in set().union(*names)
+
+
 def test_density_peaks_of_little(spark):
     none = dp.density_peaks(frame(spark, []))
     assert none.count() == 0 and dp.describe_clusters(none).count() == 0
