@@ -58,6 +58,14 @@ def test_near_copies_are_a_cluster(spark, block_rows):
     assert all(len(n) == 1 for n in names) and len(set().union(*names)) == 4 and None not in set().union(*names)
 
 
+def test_clusters_of_a_small_share(spark):
+    x, _ = clusters(np.random.default_rng(17), [400, 300, 40, 8, 3], noise=0.6)
+    df = frame(spark, [(f"r{i:04d}", "c", v.tolist()) for i, v in enumerate(x)])
+    got = {r["id"]: r["cluster_id"] for r in dp.density_peaks(df, min_share=0.1, block_rows=200).collect()}
+    names = [{got[f"r{i:04d}"] for i in range(a, b)} for a, b in ((0, 400), (400, 700), (700, 740), (740, 748), (748, 751))]
+    assert len(got) == 751 and all(len(n) == 1 for n in names) and len(set().union(*names)) == 5 and None not in set().union(*names)
+
+
 def test_density_peaks_of_little(spark):
     none = dp.density_peaks(frame(spark, []))
     assert none.count() == 0 and dp.describe_clusters(none).count() == 0
