@@ -255,6 +255,16 @@ def test_nearest_among_near_copies(spark, least, block_rows):
     assert got == {(ids[i], ids[j]) for i in range(1000) for j in best[i] if least is None or s[i, j] >= least}
 
 
+def test_recall_in_a_large_group(spark):
+    rng = np.random.default_rng(13)
+    x, _ = clusters(rng, [700] * 5)
+    ids = [f"r{i:04d}" for i in range(3500)]
+    _, best = exact(x, 5)
+    asked = spark.createDataFrame([(i,) for i in ids[::20]], "id STRING")
+    got = {(r["id"], r["neighbour"]) for r in aq_knn.nearest(frame(spark, [(i, "c", v.tolist()) for i, v in zip(ids, x)]), 5, probes=None, queries=asked).collect()}
+    assert got == {(ids[i], ids[j]) for i in range(0, 3500, 20) for j in best[i]}
+
+
 def test_cells_that_are_left_out_hold_nothing_similar():
     x, _ = clusters(np.random.default_rng(14), [300] * 6)
     x = np.concatenate([x, x[:200] + 0.3 * np.random.default_rng(15).standard_normal((200, 64)) * np.linalg.norm(x[:200], axis=1, keepdims=True) / 8])
