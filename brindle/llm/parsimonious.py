@@ -60,14 +60,14 @@ def term_statistics(postings: DataFrame, records: DataFrame | None = None) -> Da
 
 
 def characteristic_terms(
-    postings: DataFrame, records: DataFrame | None = None, weight: float = 0.1, rounds: int = 50, tolerance: float = 1e-5, least: float = 1e-4
+    postings: DataFrame, records: DataFrame | None = None, weight: float = 0.1, rounds: int = 50, tolerance: float = 1e-5
 ) -> DataFrame:
-    """Terms that stay in their records' own models: ``collection_name, id, term, probability, place, raw_count, terms,
+    """All terms of all records with their probability in the record's own model: ``collection_name, id, term, probability, place, raw_count, terms,
     weight, rival``.
 
     ``place`` is the term's rank in the record by probability (ties: smaller term), ``terms`` the number of the record's
-    distinct terms. ``weight`` is the mixture's part that the record's own model is to explain; terms whose probability
-    falls below ``least`` of the record's largest are common ones, and left out. For exact checks there are, with
+    distinct terms. ``weight`` is the mixture's part that the record's own model is to explain; common terms keep next to
+    no probability. For exact checks there are, with
     ``doc_length`` the sum of the record's counts, the term's ``weight``, ``raw_count / doc_length *
     ln((n - df + 0.5) / (df + 0.5) + 1)``, and the ``rival``, the largest weight of all other terms of the record (NULL if
     it has none). postings: distinct ones (``distinct_postings``), records: see ``term_statistics``; an empty table gives no
@@ -87,7 +87,6 @@ def characteristic_terms(
                 size, start = np.diff(offsets), offsets[:-1]
                 count = np.asarray(flat.field("raw_count")).astype(np.float64)
                 own = em(count, np.asarray(flat.field("share")), start, weight, rounds, tolerance)
-                keep = own >= least * np.repeat(np.maximum.reduceat(own, start), size)
                 doc = np.repeat(np.arange(b.num_rows), size)
                 _, word = np.unique(np.asarray(flat.field("term").to_pylist(), object).astype(str), return_inverse=True)
                 order = np.lexsort((word, -own, doc))
@@ -99,13 +98,12 @@ def characteristic_terms(
                 first, second = order[start], order[np.minimum(start + 1, len(own) - 1)]
                 rival = np.repeat(heavy[first], size)
                 rival[first] = np.where(size > 1, heavy[second], np.nan)
-                pick = pa.array(np.nonzero(keep)[0])
                 columns = {
                     "collection_name": b.column("collection_name").take(pa.array(doc)), "id": b.column("id").take(pa.array(doc)), "term": flat.field("term"),
                     "probability": pa.array(own), "place": pa.array(place), "raw_count": flat.field("raw_count"), "terms": pa.array(np.repeat(size, size).astype(np.int32)),
                     "weight": pa.array(heavy), "rival": pa.array(rival, from_pandas=True),
                 }
-                yield pa.RecordBatch.from_pydict({k: v.take(pick) for k, v in columns.items()})
+                yield pa.RecordBatch.from_pydict(columns)
 
     return records.mapInArrow(
         models, "collection_name STRING, id STRING, term STRING, probability DOUBLE, place INT, raw_count BIGINT, terms INT, weight DOUBLE, rival DOUBLE"

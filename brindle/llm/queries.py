@@ -64,8 +64,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
-    """The 5 most characteristic terms of every live record."""
-    return _terms(spark, d).where("place <= 5").select("collection_name", "id", "place", "term", F.round("probability", 6).alias("probability"))
+    """Every term of every live record with its probability and place."""
+    return _terms(spark, d).select("collection_name", "id", "place", "term", "probability")
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:

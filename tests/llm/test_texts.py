@@ -274,3 +274,17 @@ def test_portions():
     b = pa.RecordBatch.from_pydict({"t": ["a" * n for n in (5, 5, 100, 1, 1, 0)] + [None, "b"]})
     assert [p.num_rows for p in portions(b, "t", 3, 10)] == [2, 1, 3, 2]
     assert sum(([*p.column("t").to_pylist()] for p in portions(b.slice(1, 5), "t", 2, 10)), []) == b.slice(1, 5).column("t").to_pylist()
+
+
+def test_every_term_has_a_weight(spark):
+    rows = [("c", f"r{i}", t, n) for i in range(20) for t, n in (("the", 1), (f"w{i}", 40), *((f"x{i}{j}", 2) for j in range(6)))]
+    got = plm.characteristic_terms(spark.createDataFrame(rows, "collection_name STRING, id STRING, term STRING, raw_count BIGINT")).collect()
+    assert {(r["id"], r["term"]) for r in got} == {r[1:3] for r in rows} and len(got) == len(rows)
+    assert all(sorted(r["place"] for r in got if r["id"] == f"r{i}") == list(range(1, 9)) for i in range(20))
+
+
+def test_terms_of_live_records(spark, data):
+    from brindle.llm import queries
+
+    assert queries.p4_terms(spark, data).count() == queries._terms(spark, data).count() > 0
+    assert queries.p4_terms(spark, data).where("place > 5").count() > 0
