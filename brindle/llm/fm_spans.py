@@ -336,3 +336,12 @@ def shared_parts(documents: DataFrame, spans: DataFrame, copies: DataFrame) -> D
     n = F.when(F.col("whole"), 1).otherwise(F.coalesce("n", F.lit(0)))
     share = F.when(F.col("chars") > 0, F.round(shared / F.col("chars"), 6)).otherwise(0.0)
     return rows.select("doc_id", "chars", shared.alias("shared_chars"), n.cast("bigint").alias("spans"), share.alias("share"))
+
+
+def shared_stretches(documents: DataFrame, spans: DataFrame, copies: DataFrame) -> DataFrame:
+    """``doc_id, start, stop`` of every stretch that stands in other documents too, from 0, without the stop; a copy of a
+    whole text is one stretch."""
+    docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("stop"))
+    whole = docs.join(copies.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.lit(0).cast("bigint").alias("start"), "stop")
+    parts = spans.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+    return whole.unionByName(parts.join(whole.select("doc_id"), "doc_id", "left_anti"))

@@ -23,6 +23,11 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return dp.describe_clusters(cut(_clusters(spark, d)))
 
 
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's cluster, NULL for none."""
+    return _clusters(spark, d).select("id", "cluster_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     live = live_records(table(spark, d, "vectors"), ["vector", "collection_name"])
     return aq_knn.similar_pairs(aq_knn.nearest(live, k=5, min_similarity=0.9), 0.9)
@@ -127,6 +132,13 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return fm.shared_parts(docs, spans, copies)
 
 
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of each document that recur in others."""
+    docs = table(spark, d, "documents")
+    _, spans, copies = fm.shared_spans(docs)
+    return fm.shared_stretches(docs, spans, copies)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

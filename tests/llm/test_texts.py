@@ -288,3 +288,14 @@ def test_terms_of_live_records(spark, data):
 
     assert queries.p4_terms(spark, data).count() == queries._terms(spark, data).count() > 0
     assert queries.p4_terms(spark, data).where("place > 5").count() > 0
+
+
+def test_stretches_make_up_what_is_shared(spark, data):
+    from brindle.llm import queries
+
+    sums = {}
+    for r in queries.p8_spans(spark, data).collect():
+        assert 0 <= r["start"] < r["stop"]
+        n, chars = sums.get(r["doc_id"], (0, 0))
+        sums[r["doc_id"]] = (n + 1, chars + r["stop"] - r["start"])
+    assert sums == {r["doc_id"]: (r["spans"], r["shared_chars"]) for r in queries.p8_shared(spark, data).where("spans > 0").collect()} and sums
