@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from brindle.errors import InvalidQuery
+from brindle.functions.filters import compile_filter
 from brindle.functions.text import query_weights
 from brindle.operators.bm25 import Bm25Index
 from brindle.operators.knn import dense_search, top
@@ -96,6 +97,7 @@ def hybrid_search(
             dense = dense.persist()
             sparse = index.search(text, n, dense)
         else:
-            sparse = index.search(text, n)
+            kept = None if filter is None else records.where(compile_filter(filter)).select("id")
+            sparse = index.search(text, n, kept)
     fused = fuse(dense, sparse, k, alpha, strategy)
     return top(fused.join(records, "id"), k)

@@ -135,8 +135,9 @@ def execute(plan: Plan, records: DataFrame, index: Bm25Index | None = None) -> D
         found = dense_search(scan, r.vector, plan.k, c.metric, r.filter, dimension=c.dimension).withColumn("sparse_score", none)
     else:
         index = index or Bm25Index.build(records, k1=c.bm25_k1, b=c.bm25_b)
-        scores = index.search(r.query_text, plan.candidates)
-        hits = scores.join(records.where(compile_filter(r.filter)) if r.filter is not None else records, "id")
+        kept = records.where(compile_filter(r.filter)) if r.filter is not None else records
+        scores = index.search(r.query_text, plan.candidates, kept.select("id") if r.filter is not None else None)
+        hits = scores.join(kept, "id")
         found = hits.withColumn("sparse_score", F.col("score")).withColumn("dense_score", none)
     out = top(found.select("id", "score", "dense_score", "sparse_score", "payload", "text"), plan.k)
     out = project(out, list(r.columns))

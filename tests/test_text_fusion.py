@@ -103,3 +103,15 @@ def test_hybrid(spark):
     for bad in ({}, {"text": "x", "alpha": 2}):
         with pytest.raises(InvalidQuery):
             fusion.hybrid_search(df, **bad)
+
+
+def test_text_search_filters_first(spark):
+    from brindle.plans.planner import execute, plan_search
+    from brindle.types import CollectionConfig, SearchRequest
+
+    rows = [(f"r{i:02d}", [1.0, 0.0], '{"year": %d}' % (2000 + (i == 29)), "slow backup " + "of a disk " * i) for i in range(30)]
+    df = spark.createDataFrame(rows, "id STRING, vector ARRAY<DOUBLE>, payload STRING, text STRING")
+    kept = {"field": "year", "op": "=", "value": 2001}
+    assert [r["id"] for r in fusion.hybrid_search(df, None, "backup", 2, filter=kept).collect()] == ["r29"]
+    plan = plan_search(CollectionConfig("docs", 2), SearchRequest("docs", None, "backup", 2, filter=kept), 30)
+    assert [r["id"] for r in execute(plan, df).collect()] == ["r29"]
