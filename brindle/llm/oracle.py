@@ -49,8 +49,17 @@ _TEXTS = (
 )
 
 
+_NEAR = (
+    _VECTORS.replace("SELECT id, collection_name,", "SELECT id, collection_name, mmap_index,", 1)
+    + ", s AS (SELECT a.id, b.id AS neighbour, list_cosine_similarity(a.v, b.v) AS similarity FROM rec a JOIN rec b ON a.collection_name = b.collection_name AND a.id <> b.id WHERE a.mmap_index % 20 = 0), "
+    "t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 12) DESC, neighbour) AS rank FROM s)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_knn": f"WITH {_NEAR} SELECT id, rank, neighbour, round(similarity, 6) AS similarity FROM t WHERE rank <= 5",
+        "p2_recall": f"WITH {_NEAR} SELECT count(DISTINCT id) AS asked, count(*) AS expected, TRUE AS reached FROM t WHERE rank <= 5",
         "p2_found": f"WITH {_VECTORS}, s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM rec a JOIN rec b ON a.collection_name = b.collection_name AND a.id <> b.id), "
         "t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE s >= 0.9",
         "p3_found": f"WITH RECURSIVE {_TEXTS} SELECT DISTINCT a AS id_a, b AS id_b FROM reach WHERE a < b",

@@ -33,11 +33,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return aq_knn.similar_pairs(aq_knn.nearest(live, k=5, min_similarity=0.9), 0.9)
 
 
-def p2_knn(spark: SparkSession, d: str) -> DataFrame:
-    """The 5 most similar records of the collection for every live record whose mmap_index is divisible by 20."""
+def _knn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The 5 most similar records of the collection for every live record whose mmap_index is divisible by 20, against all;
+    all records, and the records asked for."""
     live = cut(live_records(table(spark, d, "vectors"), ["vector", "collection_name", "mmap_index"]))
-    found = aq_knn.nearest(live, k=5, probes=None, queries=live.where("mmap_index % 20 = 0"))
-    return found.select("id", "rank", "neighbour", F.round("similarity", 6).alias("similarity"))
+    asked = live.where("mmap_index % 20 = 0")
+    return aq_knn.nearest(live, k=5, queries=asked), live, asked
+
+
+def p2_knn(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d)[0].select("id", F.col("rank").cast("bigint").alias("rank"), "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether p2_knn holds at least nine tenths of the neighbours that brute force finds for the same records."""
+    found, live, asked = _knn(spark, d)
+    r = aq_knn.recall(found, live, asked, 5)
+    return r.select("asked", "expected", (F.col("hit") >= 0.9 * F.col("expected")).alias("reached"))
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:

@@ -235,9 +235,9 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def exact(x, k):
-    """Cosines of the vectors as the search keeps them, and each one's k nearest others."""
+    """Cosines in double of the single-precision vectors, and each one's k nearest others."""
     u = x.astype(np.float32).astype(np.float64)
-    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -9)
     return s, np.argsort(-s, axis=1)[:, :k]
@@ -265,6 +265,19 @@ def test_recall_in_a_large_group(spark):
     assert got == {(ids[i], ids[j]) for i in range(0, 3500, 20) for j in best[i]}
 
 
+def test_recall_of_divided_groups(spark):
+    rng = np.random.default_rng(18)
+    x, _ = clusters(rng, [900] * 4)
+    ids = [f"r{i:04d}" for i in range(3600)]
+    s, best = exact(x, 5)
+    df = frame(spark, [(i, "c" if int(i[1:]) < 3000 else "d", v.tolist()) for i, v in zip(ids, x)])
+    asked = spark.createDataFrame([(i,) for i in ids[::20]], "id STRING")
+    found = aq_knn.nearest(df, 5, queries=asked, block_rows=500, asked_rows=60).cache()
+    assert found.groupBy("id").count().where("count = 5").count() == 180
+    r = aq_knn.recall(found, df, asked, 5).first()
+    assert r["asked"] == 180 and r["expected"] == 900 and r["hit"] >= 0.9 * 900
+
+
 def test_cells_that_are_left_out_hold_nothing_similar():
     x, _ = clusters(np.random.default_rng(14), [300] * 6)
     x = np.concatenate([x, x[:200] + 0.3 * np.random.default_rng(15).standard_normal((200, 64)) * np.linalg.norm(x[:200], axis=1, keepdims=True) / 8])
