@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,20 +39,22 @@ def _source_name(column: str):
     return F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
 
 
-def water_fill(tokens: dict[str, int], share: dict[str, float], repeats: dict[str, int]) -> dict[str, float]:
+def water_fill(tokens: dict[str, int], share: dict[str, float], repeats: dict[str, int], clamped: dict[str, int] | None = None) -> dict[str, float]:
     """Tokens of each source in a mixture as large as all sources: what exceeds a source's ``tokens * repeats`` goes to the
     others in proportion to their shares, again and again, until none exceeds. If all sources are at their limit the
-    mixture is smaller."""
+    mixture is smaller. ``clamped`` is filled with the round, from 1 on, in which a source was set to its limit."""
     total, most = sum(tokens.values()), {s: tokens[s] * repeats[s] for s in tokens}
     given: dict[str, float] = {}
+    clamped = {} if clamped is None else clamped
     open_ = {s for s in tokens if share[s] > 0}
     while open_:
-        left, weight = total - sum(given.values()), sum(share[s] for s in open_)
+        left, weight = total - sum(given.values()), math.fsum(share[s] for s in open_)
         over = {s for s in open_ if share[s] / weight * left > most[s]}
         if not over:
             given |= {s: share[s] / weight * left for s in open_}
             break
         given |= {s: float(most[s]) for s in over}
+        clamped |= dict.fromkeys(over, max(clamped.values(), default=0) + 1)
         open_ -= over
     return {s: given.get(s, 0.0) for s in tokens}
 
@@ -61,8 +64,8 @@ def plan_mixture(sized: DataFrame, targets: DataFrame) -> DataFrame:
     source.
 
     Sources are compared trimmed and in lower case; every row of ``sized`` (``source, tokens``) counts, other sources
-    don't. ``reachable`` is false if even ``max_repeats`` times the source is less than its share of a mixture as large as
-    all listed sources; ``epochs`` is how often the source goes into the mixture. A NULL share is 0, a NULL ``max_repeats``
+    don't. ``reachable`` is false if the first round of filling clamps the source: even ``max_repeats`` times it is less than
+    its share of a mixture as large as all listed sources; ``epochs`` is how often the source goes into the mixture. A NULL share is 0, a NULL ``max_repeats``
     1, a negative one 0; a source listed twice has the sum of its shares and the larger ``max_repeats``. Only one row a
     listed source reaches the driver.
     """
@@ -74,10 +77,11 @@ def plan_mixture(sized: DataFrame, targets: DataFrame) -> DataFrame:
     totals = sized.groupBy(name.alias("source")).agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
     rows = listed.join(totals, "source", "left").na.fill(0, ["documents", "tokens"]).orderBy("source").collect()
     tokens, share, repeats = ({r["source"]: r[c] for r in rows} for c in ("tokens", "target_share", "max_repeats"))
-    filled, total = water_fill(tokens, share, repeats), sum(tokens.values())
+    clamped: dict[str, int] = {}
+    filled = water_fill(tokens, share, repeats, clamped)
     mixed = sum(filled.values()) or 1.0
     plan = [
-        (s, float(share[s]), int(repeats[s]), int(r["documents"]), int(tokens[s]), tokens[s] * repeats[s] >= share[s] * total, filled[s] / tokens[s] if tokens[s] else 0.0, filled[s] / mixed)
+        (s, float(share[s]), int(repeats[s]), int(r["documents"]), int(tokens[s]), clamped.get(s) != 1, filled[s] / tokens[s] if tokens[s] else 0.0, filled[s] / mixed)
         for r in rows for s in [r["source"]]
     ]
     columns = "source STRING, target_share DOUBLE, max_repeats INT, documents BIGINT, tokens BIGINT, reachable BOOLEAN, epochs DOUBLE, planned_share DOUBLE"

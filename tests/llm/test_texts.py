@@ -163,6 +163,9 @@ def test_water_filling():
     assert got == pytest.approx({"a": 200, "b": 100, "c": 700})
     assert mixing.water_fill(tokens, share, {"a": 1, "b": 1, "c": 0}) == pytest.approx({"a": 100, "b": 100, "c": 0})
     assert mixing.water_fill({"a": 0}, {"a": 1.0}, {"a": 1}) == {"a": 0}
+    rounds = {}
+    mixing.water_fill({"a": 100, "b": 250, "c": 650}, {"a": 0.5, "b": 0.24, "c": 0.26}, {"a": 1, "b": 1, "c": 9}, rounds)
+    assert rounds == {"a": 1, "b": 2}
 
 
 def test_mixture(spark):
