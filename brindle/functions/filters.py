@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from brindle.errors import InvalidQuery
+
 _NUMBER = re.compile(r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|inf|infinity|nan)", re.IGNORECASE)
 _NUMERIC_TYPES = r"^(BIGINT|DECIMAL.*|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)$"
 
@@ -80,12 +83,16 @@ def condition(name: str, op: str, value, payload: str = "payload", id_col: str =
     return f.exists & F.coalesce(test, F.lit(False))
 
 
-def compile_filter(filter, payload: str = "payload", id_col: str = "id") -> Column:
+def compile_filter(filter, payload: str = "payload", id_col: str = "id", similar=None) -> Column:
     """``{"field", "op", "value"}``; a list of filters, all of which must hold; or a map of fields to values that they must
-    equal. Never NULL. Anything else is satisfied by nothing. Also ``{"and"|"or": [...]}`` and ``{"not": ...}`` as the SQL
-    front end writes them, in ``Bool``."""
+    equal. Never NULL. Anything else is satisfied by nothing. Also ``Bool`` and ``Similar``, as the SQL front end writes
+    them; ``similar`` gives the column of the latter."""
+    if isinstance(filter, Similar):
+        if similar is None:
+            raise InvalidQuery("a similarity can't be a condition here")
+        return F.coalesce(similar(filter), F.lit(False))
     if isinstance(filter, Bool):
-        parts = [compile_filter(p, payload, id_col) for p in filter.parts]
+        parts = [compile_filter(p, payload, id_col, similar) for p in filter.parts]
         if filter.op == "not":
             return ~parts[0]
         out = parts[0]
@@ -95,7 +102,7 @@ def compile_filter(filter, payload: str = "payload", id_col: str = "id") -> Colu
     if isinstance(filter, (list, tuple)):
         out = F.lit(True)
         for p in filter:
-            out = out & compile_filter(p, payload, id_col)
+            out = out & compile_filter(p, payload, id_col, similar)
         return out
     if isinstance(filter, dict):
         if {"field", "op", "value"} <= filter.keys():
@@ -116,6 +123,18 @@ class Bool:
         return f"not {self.parts[0]}" if self.op == "not" else "(" + f" {self.op} ".join(map(str, self.parts)) + ")"
 
 
+@dataclass(frozen=True)
+class Similar:
+    """A condition on the similarity to a vector."""
+
+    vector: tuple[float, ...]
+    op: str
+    threshold: float
+
+    def __repr__(self) -> str:
+        return f"VECTOR_SIM {self.op} {self.threshold}"
+
+
 def fields_of(filter) -> set[str]:
     """Fields that a filter refers to."""
     if isinstance(filter, Bool):

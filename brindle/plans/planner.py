@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from brindle.errors import InvalidQuery
-from brindle.functions.filters import Bool, compile_filter, fields_of
+from brindle.functions.filters import Bool, Field, Similar, compile_filter
 from brindle.operators.bm25 import Bm25Index
 from brindle.operators.fusion import hybrid_search
-from brindle.operators.knn import checked, dense_search, top
+from brindle.operators.knn import checked, score_column, top
 from brindle.plans import dialect
 from brindle.types import CollectionConfig, Fusion, SearchRequest
 
@@ -68,6 +68,7 @@ class Plan:
     threshold: tuple[str, float] | None = None
     order_by: str | None = None
     descending: bool = False
+    order_all: bool = False
 
     def explain(self) -> str:
         f = self.request.filter
@@ -79,7 +80,7 @@ class Plan:
 
 
 def _filter_text(f) -> str:
-    return repr(f) if isinstance(f, Bool) else json.dumps(f, default=repr)
+    return repr(f) if isinstance(f, (Bool, Similar)) else json.dumps(f, default=repr)
 
 
 def plan_search(config: CollectionConfig, request: SearchRequest, n: int, strategy: Fusion = Fusion()) -> Plan:
@@ -101,12 +102,12 @@ def plan_search(config: CollectionConfig, request: SearchRequest, n: int, strate
     return Plan(node, config, hybrid, filtered and pre_filters(0.05, n), many, request.k, cost(n, request.k), request, strategy)
 
 
-def plan_sql(config: CollectionConfig, sql: str, n: int, strict: bool = True) -> Plan:
+def plan_sql(config: CollectionConfig, sql: str, n: int, strict: bool = True, order_all: bool = False) -> Plan:
     c = dialect.convert(dialect.parse(sql), strict)
     checked(c.vector, config.dimension)
     request = SearchRequest(c.table, c.vector, None, c.k, filter=c.filter, columns=tuple(c.columns))
     plan = plan_search(config, request, n)
-    plan.threshold, plan.order_by, plan.descending = c.threshold, c.order_by, c.descending
+    plan.threshold, plan.order_by, plan.descending, plan.order_all = c.threshold, c.order_by, c.descending, order_all
     if c.columns:
         plan.root = Node("Project", {"": f"[{', '.join(c.columns)}]"}, plan.root)
     return plan
@@ -118,38 +119,37 @@ _COMPARE: dict[str, Callable] = {"=": operator.eq, "!=": operator.ne, "<": opera
 def execute(plan: Plan, records: DataFrame, index: Bm25Index | None = None) -> DataFrame:
     """``id, score, dense_score, sparse_score, payload, text`` of the plan's results.
 
-    Filter and threshold stand before the top-k. With ORDER BY, the k best by score are put in the order of the field.
+    Filter and threshold stand before the top-k. With ORDER BY, the k best by score are put in the order of the field, or,
+    if the plan is to ``order_all``, all that match are, of which the first k are returned.
     """
     r, c = plan.request, plan.config
-    fields = sorted(fields_of(r.filter)) if r.filter is not None else []
     none = F.lit(None).cast("double")
+
+    def similar(s: Similar):
+        return (F.size("vector") == len(s.vector)) & _COMPARE[s.op](score_column(s.vector, c.metric), F.lit(s.threshold))
+
+    kept = records if r.filter is None else records.where(compile_filter(r.filter, similar=similar))
+    by_field = bool(plan.order_by) and plan.order_by not in ("score", "similarity")
     if plan.hybrid:
-        found = hybrid_search(records.where(compile_filter(r.filter)) if fields else records, r.vector, r.query_text, plan.candidates, r.alpha, plan.strategy, c.metric, index)
+        found = hybrid_search(kept, r.vector, r.query_text, plan.candidates, r.alpha, plan.strategy, c.metric, index)
     elif r.vector is not None:
-        scan = records
+        q = checked(r.vector, c.dimension)
+        scored = kept.where(F.size("vector") == len(q)).withColumn("score", score_column(q, c.metric))
         if plan.threshold:
-            op, least = plan.threshold
-            from brindle.operators.knn import score_column
-
-            scan = records.where((F.size("vector") == len(r.vector)) & _COMPARE[op](score_column(r.vector, c.metric), F.lit(least)))
-        found = dense_search(scan, r.vector, plan.k, c.metric, r.filter, dimension=c.dimension).withColumn("sparse_score", none)
+            scored = scored.where(_COMPARE[plan.threshold[0]](F.col("score"), F.lit(plan.threshold[1])))
+        found = scored.withColumn("dense_score", F.col("score")).withColumn("sparse_score", none)
     else:
         index = index or Bm25Index.build(records, k1=c.bm25_k1, b=c.bm25_b)
-        kept = records.where(compile_filter(r.filter)) if r.filter is not None else records
         scores = index.search(r.query_text, plan.candidates, kept.select("id") if r.filter is not None else None)
-        hits = scores.join(kept, "id")
-        found = hits.withColumn("sparse_score", F.col("score")).withColumn("dense_score", none)
-    out = top(found.select("id", "score", "dense_score", "sparse_score", "payload", "text"), plan.k)
-    out = project(out, list(r.columns))
-    if plan.order_by and plan.order_by not in ("score", "similarity"):
-        from brindle.functions.filters import Field
-
+        found = scores.join(kept, "id").withColumn("sparse_score", F.col("score")).withColumn("dense_score", none)
+    out = found.select("id", "score", "dense_score", "sparse_score", "payload", "text")
+    keys = [F.desc("score"), "id"] if not plan.order_by or plan.descending else ["score", "id"]
+    if by_field:
         f = Field(plan.order_by.removeprefix("payload."), "payload", "id")
-        keys = [f.number, f.text] if not plan.descending else [f.number.desc_nulls_last(), f.text.desc_nulls_last()]
-        return out.orderBy(*keys, "id")
-    if plan.order_by and not plan.descending:
-        return out.orderBy("score", "id")
-    return out.orderBy(F.desc("score"), "id")
+        out = out.withColumn("_n", f.number).withColumn("_t", f.text)
+        keys = ["_n", "_t", "id"] if not plan.descending else [F.col("_n").desc_nulls_last(), F.col("_t").desc_nulls_last(), "id"]
+    out = out.orderBy(*keys).limit(plan.k) if by_field and plan.order_all else top(out, plan.k)
+    return project(out.orderBy(*keys).drop("_n", "_t"), list(r.columns))
 
 
 def project(results: DataFrame, columns: list[str]) -> DataFrame:
@@ -168,8 +168,6 @@ def project(results: DataFrame, columns: list[str]) -> DataFrame:
 
 def join_payload(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Inner join of results with another collection's rows on payload fields; right columns get the prefix ``r_``."""
-    from brindle.functions.filters import Field
-
     def key(df: DataFrame, name: str) -> DataFrame:
         f = Field(name, "payload", "id")
         return df.withColumn("_key", F.coalesce(f.text, f.json))

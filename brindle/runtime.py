@@ -6,13 +6,17 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.errors import StorageError
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's ``spark.checkpoint.dir``, else (tests only) a local one."""
+    """Folder for lineage cuts: the cluster's ``spark.checkpoint.dir``; a local one only where Spark is local too."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise StorageError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="brindle-"))
     return jsc.getCheckpointDir().get()
 

@@ -3,7 +3,8 @@
 A collection is a folder with ``config.json``, batches of operations under ``log/batch=N`` and snapshots under
 ``snapshot/N``. A write adds one batch, whose folder appears when Spark commits it; the state is the newest operation of
 each id over the newest snapshot. ``compact`` writes a snapshot, then names it in ``current.json``; what it replaces is
-deleted afterwards, so a failure in between loses nothing. One writer at a time.
+deleted afterwards, so a failure in between loses nothing. One writer at a time; a stream's batch numbers are reserved
+in ``streams.json``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from brindle.errors import CollectionAlreadyExists, CollectionNotFound, DimensionMismatch, NotFound
@@ -25,14 +26,14 @@ from brindle.operators.knn import checked, dense_search, top
 from brindle.plans import planner
 from brindle.types import RECORD_SCHEMA, CollectionConfig, Fusion, Quantization, SearchRequest
 
-LOG_SCHEMA = "seq BIGINT, op STRING, " + RECORD_SCHEMA
+LOG_SCHEMA = "batch BIGINT, seq BIGINT, op STRING, " + RECORD_SCHEMA
 RESULTS = ["id", "score", "dense_score", "sparse_score", "payload", "text"]
 
 
-def latest(log: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+def latest(log: DataFrame, key: str = "id", order: str | Column = "seq") -> DataFrame:
     """The newest row of every key. Aggregated with partial results before the shuffle, not sorted."""
     rest = [c for c in log.columns if c != key]
-    newest = log.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
+    newest = log.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order) if isinstance(order, str) else order).alias("r"))
     return newest.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
@@ -78,6 +79,13 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def rename(self, path: str, to: str) -> None:
+        fs, p = self._at(path)
+        _, q = self._at(to)
+        fs.mkdirs(q.getParent())
+        fs.delete(q, True)
+        fs.rename(p, q)
+
 
 @dataclass
 class Db:
@@ -126,11 +134,11 @@ class Db:
             raise CollectionNotFound(name)
         self.files.delete(name)
 
-    def sql(self, statement: str, strict: bool = True) -> DataFrame:
+    def sql(self, statement: str, strict: bool = True, order_all: bool = False) -> DataFrame:
         """The statement on the collection that its FROM names."""
         from brindle.plans import dialect
 
-        return self.collection(dialect.parse(statement).table).sql(statement, strict)
+        return self.collection(dialect.parse(statement).table).sql(statement, strict, order_all)
 
 
 class Collection:
@@ -152,41 +160,55 @@ class Collection:
         return [n for n in numbers if n > after and self.files.exists(f"log/batch={n}/_SUCCESS")]
 
     def log(self) -> DataFrame:
-        """Operations that the snapshot doesn't hold, and the snapshot as operations with ``seq`` 0."""
+        """Operations that the snapshot doesn't hold, and the snapshot as operations of batch 0."""
         current = self._current()
         paths = [f"{self.path}/log/batch={n}" for n in self._batches(current["upto"])]
         rows = self.spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
         if current["snapshot"] is not None:
             base = self.spark.read.schema(RECORD_SCHEMA).parquet(f"{self.path}/snapshot/{current['snapshot']}")
-            rows = base.select(F.lit(0).cast("bigint").alias("seq"), F.lit("upsert").alias("op"), *base.columns).unionByName(rows)
+            rows = base.select(F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("seq"), F.lit("upsert").alias("op"), *base.columns).unionByName(rows)
         return rows
 
     def records(self) -> DataFrame:
         if self._current()["snapshot"] is not None and not self._batches(self._current()["upto"]):
             return self.spark.read.schema(RECORD_SCHEMA).parquet(f"{self.path}/snapshot/{self._current()['snapshot']}")
-        return latest(self.log()).where("op = 'upsert'").drop("op", "seq")
+        return latest(self.log(), "id", F.struct("batch", "seq")).where("op = 'upsert'").drop("op", "batch", "seq")
 
-    def _append(self, rows: DataFrame) -> None:
-        number = max([0, self._current()["upto"], *self._batches()]) + 1
-        order = F.lit(number).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id() % F.lit(1 << 40)
+    def _next(self) -> int:
+        """Number of the next batch; those that streams have reserved are left out."""
+        return max([0, self._current()["upto"], *self._batches(), *[n for _, n in self._streams().values()]]) + 1
+
+    def _append(self, rows: DataFrame, number: int | None = None, seen: Observation | None = None) -> None:
+        """Writes a batch aside and gives it its name when it is whole. ``seen``: observed on the way, and looked at before."""
+        number = number or self._next()
+        place = {"batch": F.lit(number), "seq": F.monotonically_increasing_id()}
         schema = StructType.fromDDL(LOG_SCHEMA)
-        rows = rows.withColumn("seq", order).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-        rows.write.mode("overwrite").parquet(f"{self.path}/log/batch={number}")
+        rows = rows.withColumns(place).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        aside = f"pending/{number}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/{aside}")
+        if seen is not None and (wrong := seen.get["wrong"]) is not None:
+            self.files.delete(aside)
+            raise DimensionMismatch(self.config.dimension, wrong)
+        self.files.rename(aside, f"log/batch={number}")
+
+    def _streams(self) -> dict[str, list[int]]:
+        """Of each stream its last micro-batch and the number reserved for it."""
+        return json.loads(self.files.read("streams.json")) if self.files.exists("streams.json") else {}
 
     # Writes
 
-    def insert_frame(self, records: DataFrame) -> int:
+    def insert_frame(self, records: DataFrame, number: int | None = None) -> int:
         """Adds a table of records, of any size, as one batch. Missing columns are filled; a vector of another length than the
-        collection's fails the batch. Of repeated ids the last counts. ``created_at`` is reset, as on every upsert."""
+        collection's fails the batch. Of repeated ids the last counts. ``created_at`` is reset, as on every upsert. The
+        table is evaluated once: rows are counted and checked while they are written."""
         now = F.date_trunc("second", F.current_timestamp())
         fill = {"payload": F.lit("{}"), "text": F.lit(None).cast("string"), "created_at": now, "updated_at": now}
         for c, v in fill.items():
             records = records.withColumn(c, F.coalesce(F.col(c), v) if c in records.columns and c != "text" else F.col(c) if c in records.columns else v)
-        wrong = records.where(F.col("vector").isNull() | (F.size("vector") != self.config.dimension)).select(F.size("vector").alias("n")).first()
-        if wrong:
-            raise DimensionMismatch(self.config.dimension, wrong["n"])
-        self._append(records.withColumn("op", F.lit("upsert")))
-        return records.count()
+        size, seen = F.coalesce(F.size("vector"), F.lit(-1)), Observation()
+        wrong = F.max(F.when(F.col("vector").isNull(), -1).when(size != self.config.dimension, size))
+        self._append(records.withColumn("op", F.lit("upsert")).observe(seen, F.count(F.lit(1)).alias("n"), wrong.alias("wrong")), number, seen)
+        return seen.get["n"]
 
     def upsert_record(self, id: str, vector: Sequence[float], payload: dict | None = None, text: str | None = None) -> str:
         """``inserted`` or ``updated``."""
@@ -239,7 +261,8 @@ class Collection:
         for name in self.files.names("log"):
             if not self.files.exists(f"log/{name}/_SUCCESS"):
                 self.files.delete(f"log/{name}")
-        return self.log().where("seq > 0").count()
+        self.files.delete("pending")
+        return self.log().where("batch > 0").count()
 
     # Reads
 
@@ -315,8 +338,9 @@ class Collection:
         v = None if vector is None else checked(vector, self.config.dimension)
         return self._results(hybrid_search(self.records(), v, text, k, alpha, strategy, self.config.metric, self.postings(text) if text else None, filter))
 
-    def sql(self, statement: str, strict: bool = True) -> DataFrame:
-        return planner.execute(planner.plan_sql(self.config, statement, len(self), strict), self.records())
+    def sql(self, statement: str, strict: bool = True, order_all: bool = False) -> DataFrame:
+        """``order_all``: ORDER BY a field sorts all that match before LIMIT, not the LIMIT best by score."""
+        return planner.execute(planner.plan_sql(self.config, statement, len(self), strict, order_all), self.records())
 
     def execute_search(self, request: SearchRequest, strategy: Fusion = Fusion()) -> DataFrame:
         """A planned request: dense, sparse or hybrid, by the signals that it has."""
@@ -329,12 +353,16 @@ class Collection:
     # Streams
 
     def write_stream(self, stream: DataFrame, checkpoint: str):
-        """Upserts of a stream of records, micro-batch by micro-batch; a batch that is repeated after a failure changes
-        nothing, because the latest operation of an id counts."""
-
-        def upsert(rows: DataFrame, _: int) -> None:
-            rows = rows.persist()  # a stateful batch must be evaluated once
-            self.insert_frame(rows)
-            rows.unpersist()
+        """Upserts of a stream of records, micro-batch by micro-batch. A micro-batch reserves the number of its batch before
+        it is written, so that one repeated after a failure is skipped if it was, and written under the same number if not."""
+
+        def upsert(rows: DataFrame, nth: int) -> None:
+            last, number = self._streams().get(checkpoint, [-1, 0])
+            if nth < last or nth == last and (number <= self._current()["upto"] or number in self._batches()):
+                return
+            if nth > last:
+                number = self._next()
+                self.files.write("streams.json", json.dumps(self._streams() | {checkpoint: [nth, number]}))
+            self.insert_frame(rows, number)
 
         return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
