@@ -154,3 +154,34 @@ def hoist(records, fields: list[str], payload: str = "payload"):
         column = name.replace(".", "_")
         records = records.withColumn(f"f_{column}", F.coalesce(f.text, f.json)).withColumn(f"n_{column}", f.number)
     return records
+
+
+def hoisted(filter, fields) -> Column | None:
+    """What a filter says about hoisted fields, as conditions on their columns that Parquet can skip by. Every row that
+    satisfies the filter satisfies them; the reverse isn't so. None if there is nothing of the kind."""
+    if isinstance(filter, Bool):
+        return _every([hoisted(p, fields) for p in filter.parts]) if filter.op == "and" else None
+    if isinstance(filter, (list, tuple)):
+        return _every([hoisted(p, fields) for p in filter])
+    if not isinstance(filter, dict):
+        return None
+    if not {"field", "op", "value"} <= filter.keys():
+        return _every([hoisted({"field": k, "op": "=", "value": v}, fields) for k, v in filter.items()])
+    name, op, value = filter["field"], filter["op"], filter["value"]
+    if name not in fields or not isinstance(name, str):
+        return None
+    text, number, n = F.col(f"f_{name.replace('.', '_')}"), F.col(f"n_{name.replace('.', '_')}"), as_number(value)
+    if n is not None and not math.isnan(n) and op in ("=", "<", "<=", ">", ">="):
+        test = {"=": number == n, "<": number < n, "<=": number <= n, ">": number > n, ">=": number >= n}[op]
+        return test | (text == value) if op == "=" and isinstance(value, str) else test
+    if op == "=" and isinstance(value, str):
+        return text == value
+    return None
+
+
+def _every(parts: list) -> Column | None:
+    parts = [p for p in parts if p is not None]
+    out = parts[0] if parts else None
+    for p in parts[1:]:
+        out = out & p
+    return out

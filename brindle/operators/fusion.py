@@ -1,35 +1,37 @@
-"""Fusion of dense and sparse rankings, and hybrid search.
-
-Candidate lists have at most a few thousand rows, a fixed multiple of k, so their windows are over single partitions.
-"""
+"""Fusion of dense and sparse rankings, and hybrid search."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from brindle.errors import InvalidQuery
 from brindle.functions.filters import compile_filter
 from brindle.functions.text import query_weights
 from brindle.operators.bm25 import Bm25Index
 from brindle.operators.knn import dense_search, top
+from brindle.runtime import cut
 from brindle.types import Fusion, Metric
 
-_ALL = lambda: Window.partitionBy(F.lit(1))
+def _beside(scores: DataFrame, one: DataFrame) -> DataFrame:
+    """``scores`` with the columns of a single row."""
+    key = F.lit(1).alias("_one")
+    return scores.select("*", key).join(F.broadcast(one.select("*", key)), "_one").drop("_one")
 
 
 def minmax(scores: DataFrame, column: str = "score") -> DataFrame:
-    """``column`` stretched to [0, 1]; 1 if all are equal (within 1e-9)."""
-    lo, hi = F.min(column).over(_ALL()), F.max(column).over(_ALL())
-    return scores.withColumn(column, F.when(hi - lo < 1e-9, 1.0).otherwise((F.col(column) - lo) / (hi - lo)))
+    """``column`` stretched to [0, 1]; 1 if all are equal (within 1e-9). The range is aggregated first, one row."""
+    lo, hi = F.col("_lo"), F.col("_hi")
+    known = _beside(scores, scores.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")))
+    return known.withColumn(column, F.when(hi - lo < 1e-9, 1.0).otherwise((F.col(column) - lo) / (hi - lo))).drop("_lo", "_hi")
 
 
 def softmax(scores: DataFrame, column: str = "score") -> DataFrame:
-    """``column`` as exponentials that sum to 1; equal parts if their sum is 0."""
-    e = F.exp(F.col(column) - F.max(column).over(_ALL()))
-    total = F.sum(e).over(_ALL())
-    return scores.withColumn(column, F.when(total == 0, 1 / F.count(F.lit(1)).over(_ALL())).otherwise(e / total))
+    """``column`` as exponentials that sum to 1; equal parts if their sum is 0. Aggregated first, one row each."""
+    known = _beside(scores, scores.agg(F.max(column).alias("_hi"))).withColumn("_e", F.exp(F.col(column) - F.col("_hi")))
+    known = _beside(known, known.agg(F.sum("_e").alias("_sum"), F.count(F.lit(1)).alias("_n")))
+    return known.withColumn(column, F.when(F.col("_sum") == 0, 1 / F.col("_n")).otherwise(F.col("_e") / F.col("_sum"))).drop("_hi", "_e", "_sum", "_n")
 
 
 def weighted_sum(dense: DataFrame, sparse: DataFrame, alpha: float) -> DataFrame:
@@ -41,8 +43,9 @@ def weighted_sum(dense: DataFrame, sparse: DataFrame, alpha: float) -> DataFrame
 
 
 def reciprocal_rank(lists: Sequence[DataFrame], k: int = 60) -> DataFrame:
-    """``id, score``: the sum of ``1 / (k + place)``; places count from 1 by score (ties: smaller id)."""
-    place = F.row_number().over(_ALL().orderBy(F.desc("score"), "id"))
+    """``id, score``: the sum of ``1 / (k + place)``; places count from 1 by score (ties: smaller id). The lists are results
+    of top-k searches: a place needs them ordered as a whole."""
+    place = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
     parts = [one.select("id", (1 / (k + place)).alias("score")) for one in lists]
     every = parts[0]
     for p in parts[1:]:
@@ -64,6 +67,26 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int, alpha: float = 0.7, strate
     return top(fused.join(d, "id", "left").join(s, "id", "left").select("id", "score", "dense_score", "sparse_score"), k)
 
 
+def fuse_groups(results: DataFrame, group: str = "query_id", alpha: float = 0.7, dense: str = "dense_score", sparse: str = "sparse_score") -> DataFrame:
+    """``group, k, id, score, rank``: the ``k`` best results of every group by the weighted sum of its two scores, each
+    stretched to [0, 1] within the group.
+
+    results: one row a group and id, with ``k`` and ``alpha`` (NULL: the default). A missing score is 0. Ranges are aggregated
+    before they are joined back, so a group with very many results is never in one task; ties (nine digits): smaller id.
+    """
+    sides = (dense, sparse)
+    ranges = results.groupBy(group).agg(*[f(c).alias(f"{n}_{c}") for c in sides for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def norm(c: str) -> Column:
+        lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        return F.coalesce(F.when(F.col(c).isNotNull(), F.when(hi - lo < 1e-9, 1.0).otherwise((F.col(c) - lo) / (hi - lo))), F.lit(0.0))
+
+    a = F.coalesce("alpha", F.lit(alpha))
+    fused = results.join(ranges, group).select(group, "k", "id", (a * norm(dense) + (1 - a) * norm(sparse)).alias("score"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round("score", 9)), "id"))
+    return fused.withColumn("rank", rank).where(F.col("rank") <= F.col("k"))
+
+
 def oversample_k(k: int, factor: int = 5) -> int:
     return max(k * factor, k)
 
@@ -94,7 +117,8 @@ def hybrid_search(
     if text:
         index = index or Bm25Index.build(records, terms=query_weights(text))
         if vector is not None:
-            dense = dense.persist()
+            # At most n rows, which two joins use: written once, so that nothing stays cached.
+            dense = cut(dense)
             sparse = index.search(text, n, dense)
         else:
             kept = None if filter is None else records.where(compile_filter(filter)).select("id")

@@ -30,7 +30,8 @@ class DenseIndex(Protocol):
     def save(self, path: str) -> None: ...
 
 
-def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` but those whose id is among ``ids``; NULL ids stay."""
     return rows.join(ids.select("id").distinct(), "id", "left_anti").select(*rows.columns)
 
 
@@ -60,7 +61,7 @@ class _Base:
 
     def insert(self, records: DataFrame):
         """Records of known ids are replaced."""
-        return replace(self, rows=_without(self.rows, records).unionByName(self._prepared(records), allowMissingColumns=True))
+        return replace(self, rows=without(self.rows, records).unionByName(self._prepared(records), allowMissingColumns=True))
 
     def _prepared(self, records: DataFrame) -> DataFrame:
         return records

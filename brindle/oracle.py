@@ -53,6 +53,8 @@ _WHERE = {
     "filter_and": f"{_MEDICAL} AND {_YEAR} = 2023",
     "filter_coerce": f"{_YEAR} = 2023",
     "filter_id": "id LIKE 'vec%'",
+    "filter_unknown": "FALSE",
+    "filter_flag": f"json_type({_J}, '$.topic') IS NOT NULL AND coalesce(({_J}->'$.topic')::VARCHAR <> 'true', TRUE) AND {_YEAR} <= 2022",
     "filter_null": f"json_type({_J}, '$.region') = 'NULL'",
 }
 
@@ -180,7 +182,25 @@ def oracle_sql() -> dict[str, str]:
         "percentile_floor": "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT round(value, 6) AS value FROM v WHERE i = floor((n - 1) * 0.95)",
         "percentile_round": "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT round(value, 6) AS value FROM v WHERE i = round((n - 1) * 0.99)",
         "percentile_by_type": "WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(value, 6) AS p50 FROM v WHERE i = floor((n - 1) * 0.5)",
+        "pairwise_distance": f"WITH {_REC}, x AS (SELECT pair_id, 1 - list_cosine_similarity(a.vector, b.vector) AS c, list_distance(a.vector, b.vector) AS e, 1 - list_dot_product(a.vector, b.vector) AS p FROM pair_probe JOIN rec a ON a.id = id_a JOIN rec b ON b.id = id_b) "
+        "SELECT pair_id, round(c, 5) AS cosine, round(e, 5) AS euclidean, round(p, 5) AS dot, round(1 - c, 5) AS cosine_score, round(1 / (1 + e), 5) AS euclidean_score, round(1 - p, 5) AS dot_score FROM x",
+        "sql_or_similar": _sql(f"coalesce({_YEAR} = 2023 AND {_MEDICAL}, FALSE) OR score > 0.5", 400, _NONE),
+        "sql_not_similar": _sql("NOT score > 0.1", 15, _NONE),
+        "sql_nested_and": _sql(f"{_MEDICAL} AND {_YEAR} >= 2023 AND score > 0.15", 400, _NONE),
+        "sql_two_similar": _sql("score > -0.1 AND score < 0.2", 15, _NONE),
+        "sql_order_all": _sql("score >= 0.2", 12, _kept("year")).replace(_TOP, f"ORDER BY {_YEAR} DESC NULLS LAST, {_text('$.year')} DESC NULLS LAST, id LIMIT"),
+        "plan_sparse": f"WITH {_REC}, {_bm25('rec', 'id', 20)} SELECT id, round(score, 6) AS score FROM bm",
+        "plan_hybrid": f"WITH {_REC}, d AS (SELECT id, {_COS} AS score FROM rec, q WHERE {_MEDICAL} {_TOP} 100), {_bm25('rec', 'id', 100, 'id IN (SELECT id FROM d)')}, {_DN}, {_SN}, {_WS} {_HOUT}".replace("LIMIT 20", "LIMIT 2"),
+        "plan_choices": "WITH x AS (SELECT n, k FROM (VALUES (0), (1), (99), (100), (100000), (100001)) a(n), (VALUES (1), (10), (3000)) b(k)) SELECT n::BIGINT AS n, k::BIGINT AS k, round(CASE WHEN n > 0 THEN ln(n) * k * 0.1 ELSE 0 END, 6)::DOUBLE AS cost, n >= 100 AS ann, n > 100000 AS pre, "
+        + ", ".join(f"greatest(least(k * {f}, 10000), k)::BIGINT AS {c}" for c, f in (("hybrid_filtered", 10), ("hybrid", 5), ("filtered", 3), ("plain", 1))) + " FROM x",
+        "store_recover": f"WITH {_REC} SELECT count(*) FILTER (id < 'n') AS applied, count(*) AS records, 'vectors' AS name FROM rec",
+        "bm25_changed": f"WITH gone AS (SELECT min(doc_id) AS g FROM documents WHERE length(text) > 0), kept AS (SELECT * FROM documents, gone WHERE doc_id <> g), {_bm25('kept', 'doc_id', 20)} SELECT id, round(score, 6) AS score FROM bm",
+        "ivf_probe": f"WITH {_REC}, {_CENT}, near AS (SELECT collection_name || '/' || lpad(list_id::VARCHAR, 6, '0') AS list, 1 - list_cosine_similarity(c, qv) AS d FROM cent, q ORDER BY d, list LIMIT 16), "
+        "s AS (SELECT id, vector, cent.collection_name || '/' || lpad(list_id::VARCHAR, 6, '0') AS list, 1 - list_cosine_similarity(vector, c) AS d FROM rec, cent), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(d, 9), list) = 1) "
+        f"SELECT id, round(score, 6) AS score FROM (SELECT id, {_COS} AS score FROM a SEMI JOIN near USING (list), q {_TOP} 20)".replace("a SEMI JOIN near USING (list), q", "(SELECT * FROM a SEMI JOIN near USING (list)) z, q"),
     }
     out["bm25_index_search"] = out["bm25_search"]
+    out["dense_filtered_indexed"] = out["dense_filtered_selective"]
+    out["ivf_changed"] = f"SELECT id, list FROM ({out['ivf_assign']}) WHERE NOT id LIKE '%7'"
     out |= {name: f"WITH {_LIVE} SELECT id FROM live WHERE {where}" for name, where in _WHERE.items()}
     return out

@@ -8,16 +8,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from brindle.functions import filters, text as T, vector as V
-from brindle.operators import bm25, evals, fusion, ivf, knn, quantize
+from brindle.operators import bm25, evals, fusion, index, ivf, knn, quantize
 from brindle.plans import planner
 from brindle.runtime import ensure_checkpoint_dir, table
-from brindle.sources import files
+from brindle.sources import files, store
 from brindle.sources.store import Db, latest
 from brindle.streaming import ingest
-from brindle.types import CollectionConfig, Fusion, Metric
+from brindle.types import CollectionConfig, Fusion, Metric, SearchRequest
 
 #: The text searched for, and the filters, in these queries and their SQL.
 QUESTION = "the embedding of a slow query and a broken backup query"
@@ -79,9 +80,13 @@ def pairwise_similarity(spark, d):
     return p.select("pair_id", F.round(V.cosine("a", "b"), 6).alias("cosine"), F.round(V.euclidean("a", "b"), 6).alias("euclidean"), F.round(V.dot("a", "b"), 5).alias("dot"))
 
 
-def _centroids(spark, d) -> DataFrame:
-    c = table(spark, d, "ivf_centroids").where(usable(F.col("centroid")))
-    return c.select(F.concat_ws("/", "collection_name", "list_id").alias("query_id"), F.col("centroid").alias("vector")).dropDuplicates(["query_id"])
+def pairwise_distance(spark, d):
+    """Distances of the probe pairs by each metric, and their scores."""
+    r = records(spark, d)
+    a, b = r.select(F.col("id").alias("id_a"), F.col("vector").alias("a")), r.select(F.col("id").alias("id_b"), F.col("vector").alias("b"))
+    p = table(spark, d, "pair_probe").join(a, "id_a").join(b, "id_b")
+    each = {m.value: V.distance("a", "b", m) for m in Metric}
+    return p.select("pair_id", *[F.round(x, 5).alias(m) for m, x in each.items()], *[F.round(V.to_score(x, m), 5).alias(f"{m}_score") for m, x in each.items()])
 
 
 def batch_knn(spark, d):
@@ -117,6 +122,8 @@ FILTERS = {
     "filter_coerce": {"field": "year", "op": "=", "value": 2023.0},
     "filter_id": {"field": "id", "op": "LIKE", "value": "vec%"},
     "filter_null": {"field": "region", "op": "=", "value": None},
+    "filter_unknown": {"field": "year", "op": "~", "value": 2023},
+    "filter_flag": [{"field": "topic", "op": "!=", "value": True}, {"field": "year", "op": "<=", "value": "2022"}],
 }
 globals().update({name: _filtered(f) for name, f in FILTERS.items()})
 
@@ -125,6 +132,15 @@ def dense_filtered_selective(spark, d):
     return _shown(knn.dense_search(records(spark, d), asked(spark, d), 20, filter=[MEDICAL, {"field": "year", "op": "=", "value": 2023}]))
 
 
+def dense_filtered_indexed(spark, d):
+    """The same on a collection whose topic and year are indexed: its files are skipped by them."""
+    db = Db.open(spark, _folder(spark))
+    c = db.create_collection_with(CONFIG.with_indexed_fields(["topic", "year"]))
+    c.insert_frame(records(spark, d).select("id", "vector", "payload", "text"))
+    c.compact()
+    return _shown(c.query_filtered(asked(spark, d), 20, [MEDICAL, {"field": "year", "op": "=", "value": 2023}]))
+
+
 def dense_filtered_weak(spark, d):
     return _shown(knn.dense_search(records(spark, d), asked(spark, d), 20, filter={"field": "year", "op": ">", "value": 2000}))
 
@@ -181,24 +197,19 @@ def bm25_candidates(spark, d):
 
 def bm25_batch(spark, d):
     """The k best records of its collection for every stored query."""
-    r = T.once(live(spark, d).select("collection_name", "id", "text"), T.tokens("text"), "tk").where(F.size("tk") > 0)
-    words = r.select("collection_name", "id", F.size("tk").alias("dl"), F.explode("tk").alias("term"))
-    postings = words.groupBy("collection_name", "id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = r.groupBy("collection_name").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tk")).alias("avgdl"))
-    q = table(spark, d, "queries").where("query_text IS NOT NULL")
-    terms = q.select("query_id", "collection_name", "k", F.explode(T.tokens("query_text", stopwords=False)).alias("term")).groupBy("query_id", "collection_name", "k", "term").agg(F.count(F.lit(1)).alias("w"))
-    # Only postings of terms that are asked for are counted and joined.
-    wanted = postings.join(terms.select("collection_name", "term").distinct(), ["collection_name", "term"], "left_semi")
-    df = wanted.groupBy("collection_name", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, ["collection_name", "term"]).join(stats, "collection_name")
-    tf = F.col("tf")
-    part = F.col("w") * bm25.idf(F.col("n"), F.col("df")) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.col("dl") / F.greatest("avgdl", F.lit(1.0))))
-    scores = wanted.join(weighted, ["collection_name", "term"]).groupBy("query_id", "k", "id").agg(F.sum(part).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
+    best = bm25.batch_search(live(spark, d), table(spark, d, "queries"), "collection_name")
     return best.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
+def bm25_changed(spark, d):
+    """An index of the even documents, to which all are upserted and from which one is removed again."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    gone = docs.where("length(text) > 0").agg(F.min("id")).first()[0]
+    index = bm25.Bm25Index.build(docs.where("id % 2 = 0")).upsert(docs)
+    words = index.documents().where(F.col("id") == gone)
+    return _shown((index if words.isEmpty() else index.remove(gone)).search(QUESTION, 20))
+
+
 # Fusion
 
 
@@ -227,19 +238,8 @@ def fuse_batch(spark, d):
     """Every stored query's results fused by its own alpha: each side normalised within the query, a missing side 0."""
     rows = table(spark, d, "search_results").where("query_id IS NOT NULL AND id IS NOT NULL")
     last = rows.groupBy("query_id", "id").agg(F.max_by(F.struct("dense_score", "sparse_score"), "returned_at").alias("r")).select("query_id", "id", "r.*")
-    q = table(spark, d, "queries").select("query_id", "k", F.coalesce("alpha", F.lit(0.7)).alias("alpha"))
-    sides = ("dense_score", "sparse_score")
-    # Ranges are aggregated before they are joined back, so a query with very many results is never in one task.
-    ranges = last.groupBy("query_id").agg(*[f(c).alias(f"{n}_{c}") for c in sides for n, f in (("lo", F.min), ("hi", F.max))])
-
-    def norm(c: str) -> Column:
-        lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
-        return F.coalesce(F.when(F.col(c).isNotNull(), F.when(hi - lo < 1e-9, 1.0).otherwise((F.col(c) - lo) / (hi - lo))), F.lit(0.0))
-
-    n = last.join(ranges, "query_id").select("query_id", "id", norm("dense_score").alias("dn"), norm("sparse_score").alias("sn")).join(q, "query_id")
-    fused = n.select("query_id", "k", "id", (F.col("alpha") * F.col("dn") + (1 - F.col("alpha")) * F.col("sn")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return fused.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
+    fused = fusion.fuse_groups(last.join(table(spark, d, "queries").select("query_id", "k", "alpha"), "query_id"))
+    return fused.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
 def _hybrid(df: DataFrame) -> DataFrame:
@@ -300,15 +300,35 @@ def binary_rerank(spark, d):
     return _shown(b.rerank(b.build(r), asked(spark, d), 10, 100))
 
 
+def _stored_lists(spark, d) -> tuple[ivf.IvfIndex, list[str]]:
+    """The stored centroids, in the order of their names."""
+    c = table(spark, d, "ivf_centroids").where(usable(F.col("centroid")))
+    rows = c.groupBy(F.concat_ws("/", "collection_name", F.lpad(F.col("list_id").cast("string"), 6, "0")).alias("name")).agg(F.min("centroid").alias("v")).orderBy("name").collect()
+    return ivf.IvfIndex(np.array([r["v"] for r in rows], np.float64), Metric.COSINE), [r["name"] for r in rows]
+
+
+def _named(assigned: DataFrame, names: list[str]) -> DataFrame:
+    return assigned.select("id", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("cid") + 1).alias("list"))
+
+
 def ivf_assign(spark, d):
     """The nearest stored centroid of every record."""
-    import numpy as np
+    lists, names = _stored_lists(spark, d)
+    return _named(lists.assign(records(spark, d).select("id", "vector")), names)
 
-    c = table(spark, d, "ivf_centroids").where(usable(F.col("centroid")))
-    rows = c.groupBy(F.concat_ws("/", "collection_name", F.lpad(F.col("list_id").cast("string"), 6, "0")).alias("name")).agg(F.min("centroid").alias("v")).orderBy("name").collect()
-    index = ivf.IvfIndex(np.array([r["v"] for r in rows], np.float64), Metric.COSINE)
-    names = F.array(*[F.lit(r["name"]) for r in rows])
-    return index.assign(records(spark, d).select("id", "vector")).select("id", F.element_at(names, F.col("cid") + 1).alias("list"))
+
+def ivf_probe(spark, d):
+    """The best records of the 16 stored lists nearest to the query."""
+    lists, _ = _stored_lists(spark, d)
+    return _shown(lists.search(lists.assign(records(spark, d).select("id", "vector")), asked(spark, d), 20))
+
+
+def ivf_changed(spark, d):
+    """Lists of some records, to which all are inserted and from which some are deleted."""
+    lists, names = _stored_lists(spark, d)
+    r = records(spark, d).select("id", "vector")
+    some = lists.assign(r.where("id < 'n'").withColumn("vector", F.reverse("vector")))
+    return _named(lists.delete(lists.insert(some, r), r.where("id LIKE '%7'")), names)
 
 
 def ivf_search(spark, d):
@@ -320,10 +340,10 @@ def ivf_search(spark, d):
 # SQL dialect
 
 
-def _sql(statement: str, strict: bool = True):
+def _sql(statement: str, strict: bool = True, order_all: bool = False):
     def query(spark, d):
         q = "[" + ", ".join(f"{x:.4f}" for x in asked(spark, d)) + "]"
-        plan = planner.plan_sql(CONFIG, statement.replace("$q", q), 1, strict)
+        plan = planner.plan_sql(CONFIG, statement.replace("$q", q), 1, strict, order_all)
         return planner.execute(plan, records(spark, d)).select("id", F.round("score", 6).alias("score"), "payload", "text")
 
     return query
@@ -334,10 +354,37 @@ STATEMENTS = {
     "sql_filter": "SELECT id FROM vectors WHERE topic = 'medical' AND year >= 2023 AND VECTOR_SIM(vector, $q) > 0.1 LIMIT 15",
     "sql_or_not": "SELECT id FROM vectors WHERE VECTOR_SIM(vector, $q) > -2 AND (topic = 'medical' OR NOT payload->>'region' = 'EU') LIMIT 15",
     "sql_projection": "SELECT id, topic, text FROM vectors WHERE VECTOR_SIM(vector, $q) > -2 LIMIT 10",
+    "sql_or_similar": "SELECT id FROM vectors WHERE (year = 2023 AND topic = 'medical') OR VECTOR_SIM(vector, $q) > 0.5 LIMIT 400",
+    "sql_not_similar": "SELECT id FROM vectors WHERE NOT VECTOR_SIM(vector, $q) > 0.1 LIMIT 15",
+    "sql_nested_and": "SELECT id FROM vectors WHERE (topic = 'medical' AND VECTOR_SIM(vector, $q) > 0.15) AND year >= 2023 LIMIT 400",
+    "sql_two_similar": "SELECT id FROM vectors WHERE VECTOR_SIM(vector, $q) > -0.1 AND VECTOR_SIM(vector, $q) < 0.2 LIMIT 15",
     "sql_order_limit": "SELECT id, year FROM vectors WHERE VECTOR_SIM(vector, $q) >= 0.2 ORDER BY year DESC LIMIT 12;",
 }
 globals().update({name: _sql(s) for name, s in STATEMENTS.items()})
 sql_loose = _sql(STATEMENTS["sql_or_not"], strict=False)
+sql_order_all = _sql(STATEMENTS["sql_order_limit"], order_all=True)
+
+
+# Plans
+
+
+def plan_sparse(spark, d):
+    plan = planner.plan_search(CONFIG, SearchRequest(query_text=QUESTION, k=20), 1)
+    return _shown(planner.execute(plan, records(spark, d)))
+
+
+def plan_hybrid(spark, d):
+    """Dense, sparse and a filter: the text's statistics are those of all records."""
+    r = records(spark, d)
+    plan = planner.plan_search(CONFIG, SearchRequest(vector=tuple(asked(spark, d)), query_text=QUESTION, k=2, filter=MEDICAL), 1)
+    return _hybrid(planner.execute(plan, r, bm25.Bm25Index.build(r)))
+
+
+def plan_choices(spark, d):
+    """What the planner decides for sizes and k."""
+    sizes = [(n, k) for n in (0, 1, 99, 100, 100_000, 100_001) for k in (1, 10, 3000)]
+    rows = [(n, k, round(planner.cost(n, k), 6), planner.uses_ann(n), planner.pre_filters(0.2, n), *[planner.candidate_k(k, h, f) for h in (True, False) for f in (True, False)]) for n, k in sizes]
+    return spark.createDataFrame(rows, "n BIGINT, k BIGINT, cost DOUBLE, ann BOOLEAN, pre BOOLEAN, hybrid_filtered BIGINT, hybrid BIGINT, filtered BIGINT, plain BIGINT")
 
 
 # State
@@ -349,27 +396,21 @@ def upsert_latest(spark, d):
 
 def delete_antijoin(spark, d):
     s = state(spark, d)
-    return s.select("id").join(s.where("deleted != 0").select("id"), "id", "left_anti")
+    return index.without(s.select("id"), s.where("deleted != 0"))
 
 
 def collection_stats(spark, d):
-    r = live(spark, d)
-    return r.groupBy("collection_name").agg(F.count(F.lit(1)).alias("records"), F.sum(usable(F.col("vector")).cast("bigint")).alias("vectors"), F.sum((F.length(F.trim("text")) > 0).cast("bigint")).alias("texts"), F.max(F.unix_seconds("updated_at")).alias("updated"))
+    return store.summary(live(spark, d), "collection_name", usable(F.col("vector")))
 
 
 def point_get(spark, d):
     r = live(spark, d)
-    first = r.agg(F.min("id")).first()[0]
-    return r.where(F.col("id") == first).select("id", "collection_name", "payload", "text")
+    return store.lookup(r, r.agg(F.min("id")).first()[0]).select("id", "collection_name", "payload", "text")
 
 
 def collection_configs(spark, d):
     """Configurations with their defaults filled in."""
-    c = F.from_json("config", "metric STRING, index_type STRING, bm25_k1 DOUBLE, bm25_b DOUBLE, hnsw_m INT, quantization STRING")
-    return table(spark, d, "collections").withColumn("c", c).select(
-        "collection_name", F.coalesce("c.metric", F.lit("cosine")).alias("metric"), F.coalesce("c.index_type", F.lit("HNSW")).alias("index_type"),
-        F.coalesce("c.bm25_k1", F.lit(1.5)).alias("bm25_k1"), F.coalesce("c.bm25_b", F.lit(0.75)).alias("bm25_b"), F.coalesce("c.quantization", F.lit("None")).alias("quantization"),
-    )
+    return store.configs(table(spark, d, "collections")).select("collection_name", "metric", "index_type", "bm25_k1", "bm25_b", "quantization")
 
 
 def payload_join(spark, d):
@@ -400,6 +441,19 @@ def store_roundtrip(spark, d):
     return db.collection("vectors").records().select("id", F.size("vector").cast("bigint").alias("dimension"), F.when(F.col("id") == high, F.col("text")).alias("text"))
 
 
+def store_recover(spark, d):
+    """A collection with a snapshot and a log, a failed write among it, opened again: operations applied and records."""
+    r, db = records(spark, d).select("id", "vector", "payload", "text"), Db.open(spark, _folder(spark))
+    c = db.create_collection_with(CONFIG)
+    c.insert_frame(r)
+    c.compact()
+    c.insert_frame(r.where("id < 'n'"))
+    r.limit(0).write.parquet(f"{c.path}/log/batch=99")
+    c.files.delete("log/batch=99/_SUCCESS")
+    again = db.collection("vectors")
+    return spark.createDataFrame([(again.recover(), len(again), db.list_collections())], "applied BIGINT, records BIGINT, names ARRAY<STRING>").select("applied", "records", F.col("names")[0].alias("name"))
+
+
 def jsonl_roundtrip(spark, d):
     path = _folder(spark)
     records(spark, d).select("id", "vector", "text", F.to_json(F.struct(F.lit(1).alias("v"))).alias("payload")).write.json(path)

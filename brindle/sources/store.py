@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.types import StructType
 
 from brindle.errors import CollectionAlreadyExists, CollectionNotFound, DimensionMismatch, NotFound
+from brindle.functions.filters import hoist, hoisted
 from brindle.functions.text import query_weights
 from brindle.operators.bm25 import Bm25Index
 from brindle.operators.fusion import hybrid_search
@@ -37,6 +38,24 @@ def latest(log: DataFrame, key: str = "id", order: str | Column = "seq") -> Data
     return newest.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def lookup(records: DataFrame, id: str) -> DataFrame:
+    """The record of an id, if there is one."""
+    return records.where(F.col("id") == id)
+
+
+def summary(records: DataFrame, by: str, usable: Column) -> DataFrame:
+    """``by, records, vectors, texts, updated`` of every collection in a table of records."""
+    has_text = (F.length(F.trim("text")) > 0).cast("bigint")
+    return records.groupBy(by).agg(F.count(F.lit(1)).alias("records"), F.sum(usable.cast("bigint")).alias("vectors"), F.sum(has_text).alias("texts"), F.max(F.unix_seconds("updated_at")).alias("updated"))
+
+
+def configs(table: DataFrame, config: str = "config") -> DataFrame:
+    """``table`` with the settings in its JSON ``config`` as columns, missing ones with their defaults."""
+    usual = {"metric": "cosine", "index_type": "HNSW", "bm25_k1": 1.5, "bm25_b": 0.75, "quantization": "None"}
+    c = F.from_json(config, "metric STRING, index_type STRING, bm25_k1 DOUBLE, bm25_b DOUBLE, quantization STRING")
+    return table.withColumns({k: F.coalesce(c[k], F.lit(v)) for k, v in usual.items()})
+
+
 class Files:
     """Small files and listings through Hadoop's file systems, so that any path Spark knows will do."""
 
@@ -169,9 +188,15 @@ class Collection:
             rows = base.select(F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("seq"), F.lit("upsert").alias("op"), *base.columns).unionByName(rows)
         return rows
 
-    def records(self) -> DataFrame:
+    def records(self, filter=None) -> DataFrame:
+        """The present state. With ``filter``, a snapshot's files are skipped by their columns of indexed fields; what comes
+        out holds all records that satisfy the filter, and may hold others."""
         if self._current()["snapshot"] is not None and not self._batches(self._current()["upto"]):
-            return self.spark.read.schema(RECORD_SCHEMA).parquet(f"{self.path}/snapshot/{self._current()['snapshot']}")
+            fields = [f.replace(".", "_") for f in self.config.indexed_fields]
+            schema = RECORD_SCHEMA + "".join(f", `f_{f}` STRING, `n_{f}` DOUBLE" for f in fields)
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/snapshot/{self._current()['snapshot']}")
+            test = hoisted(filter, self.config.indexed_fields)
+            return (rows if test is None else rows.where(test)).select(*StructType.fromDDL(RECORD_SCHEMA).names)
         return latest(self.log(), "id", F.struct("batch", "seq")).where("op = 'upsert'").drop("op", "batch", "seq")
 
     def _next(self) -> int:
@@ -246,7 +271,10 @@ class Collection:
         """Replaces log and snapshot by a snapshot of the state."""
         before, batches = self._current(), self._batches()
         upto = max([before["upto"], *batches])
-        self.records().write.mode("overwrite").parquet(f"{self.path}/snapshot/{upto}")
+        # By value of the first indexed field, so that a filter on it reads few row groups.
+        rows = hoist(self.records(), list(self.config.indexed_fields))
+        first = [f"f_{f.replace('.', '_')}" for f in self.config.indexed_fields[:1]]
+        (rows.sortWithinPartitions(*first) if first else rows).write.mode("overwrite").parquet(f"{self.path}/snapshot/{upto}")
         self.files.write("current.json", json.dumps({"snapshot": upto, "upto": upto}))
         for n in batches:
             self.files.delete(f"log/batch={n}")
@@ -267,7 +295,7 @@ class Collection:
     # Reads
 
     def get(self, id: str):
-        row = self.records().where(F.col("id") == id).first()
+        row = lookup(self.records(), id).first()
         if row is None:
             raise NotFound(id)
         return row
@@ -328,7 +356,7 @@ class Collection:
         return found.select(*RESULTS)
 
     def query_filtered(self, vector: Sequence[float], k: int, filter) -> DataFrame:
-        return self._results(dense_search(self.records(), checked(vector, self.config.dimension), k, self.config.metric, filter))
+        return self._results(dense_search(self.records(filter), checked(vector, self.config.dimension), k, self.config.metric, filter))
 
     def query_text(self, text: str, k: int = 10) -> DataFrame:
         hits = self.postings(text).search(text, k).join(self.records(), "id")
@@ -345,7 +373,7 @@ class Collection:
     def execute_search(self, request: SearchRequest, strategy: Fusion = Fusion()) -> DataFrame:
         """A planned request: dense, sparse or hybrid, by the signals that it has."""
         plan = planner.plan_search(self.config, request, len(self), strategy)
-        return planner.execute(plan, self.records(), self.postings(request.query_text) if request.query_text else None)
+        return planner.execute(plan, self.records(request.filter if request.vector is not None else None), self.postings(request.query_text) if request.query_text else None)
 
     def explain(self, statement: str, strict: bool = True) -> str:
         return planner.plan_sql(self.config, statement, len(self), strict).explain()

@@ -143,3 +143,49 @@ def test_streams(spark, db, tmp_path):
     q = c.write_stream(once.drop("deleted"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["id"] for r in c.records().collect()} == {"a", "b"}
+
+
+def test_order_beyond_128_partitions(spark, db):
+    c = db.create_collection("wide", 2)
+    rows = spark.range(0, 300, 1, 300).select(F.lit("a").alias("id"), F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("vector"))
+    assert c.insert_frame(rows) == 300
+    assert c.get("a")["vector"] == [299.0, 0.0]
+
+
+def test_repeated_micro_batch(spark, db):
+    c = db.create_collection("streamed", 2)
+    kept = {}
+
+    class Writer:
+        def foreachBatch(self, f):
+            kept["f"] = f
+            return self
+
+        def option(self, *_):
+            return self
+
+    class Stream:
+        writeStream = Writer()
+
+    c.write_stream(Stream(), "here")
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id STRING, vector ARRAY<FLOAT>")
+    kept["f"](rows, 0)
+    c.delete("a")
+    kept["f"](rows, 0)
+    assert [r["id"] for r in c.records().collect()] == ["b"]
+    c.compact()
+    kept["f"](rows, 0)
+    kept["f"](rows.where("id = 'a'"), 1)
+    assert sorted(r["id"] for r in c.records().collect()) == ["a", "b"]
+
+
+def test_indexed_fields_reach_the_scan(spark, db):
+    c = db.create_collection_with(CollectionConfig("fields", 2, indexed_fields=("topic", "meta.rev")))
+    rows = [(f"r{i}", [1.0, float(i)], '{"topic": "%s", "meta": {"rev": %d}}' % ("ab"[i % 2], i)) for i in range(20)] + [("s", [1.0, 0.0], '{"topic": 3, "meta": {"rev": "7"}}'), ("t", [1.0, 0.0], "{")]
+    c.insert_frame(spark.createDataFrame(rows, "id STRING, vector ARRAY<FLOAT>, payload STRING"))
+    filters = [{"topic": "a"}, {"topic": "3"}, {"topic": 3}, {"meta.rev": 7}, {"meta.rev": "7"}, [{"field": "meta.rev", "op": ">=", "value": "5"}, {"topic": "b"}], {"field": "topic", "op": "!=", "value": "a"}, {"topic": None}]
+    before = [sorted(r["id"] for r in c.query_filtered([1.0, 0.0], 50, f).collect()) for f in filters]
+    c.compact()
+    assert before == [sorted(r["id"] for r in c.query_filtered([1.0, 0.0], 50, f).collect()) for f in filters]
+    plan = c.query_filtered([1.0, 0.0], 50, {"topic": "a"})._jdf.queryExecution().toString()
+    assert "EqualTo(f_topic,a)" in plan.rsplit("PushedFilters", 1)[1].split("ReadSchema")[0]
