@@ -54,7 +54,7 @@ _WHERE = {
     "filter_coerce": f"{_YEAR} = 2023",
     "filter_id": "id LIKE 'vec%'",
     "filter_unknown": "FALSE",
-    "filter_flag": f"json_type({_J}, '$.topic') IS NOT NULL AND coalesce(({_J}->'$.topic')::VARCHAR <> 'true', TRUE) AND {_YEAR} <= 2022",
+    "filter_flag": f"json_type({_J}, '$.topic') IS NOT NULL AND coalesce(({_J}->'$.topic')::VARCHAR <> 'true', TRUE) AND {_YEAR} <= 2024",
     "filter_null": f"json_type({_J}, '$.region') = 'NULL'",
 }
 

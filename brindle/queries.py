@@ -123,7 +123,7 @@ FILTERS = {
     "filter_id": {"field": "id", "op": "LIKE", "value": "vec%"},
     "filter_null": {"field": "region", "op": "=", "value": None},
     "filter_unknown": {"field": "year", "op": "~", "value": 2023},
-    "filter_flag": [{"field": "topic", "op": "!=", "value": True}, {"field": "year", "op": "<=", "value": "2022"}],
+    "filter_flag": [{"field": "topic", "op": "!=", "value": True}, {"field": "year", "op": "<=", "value": "2024"}],
 }
 globals().update({name: _filtered(f) for name, f in FILTERS.items()})
 
