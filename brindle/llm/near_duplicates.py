@@ -120,6 +120,34 @@ def candidate_pairs(keys: DataFrame, members: DataFrame, same: Callable[[pa.Tabl
     to blocks of about ``block_rows``, every two of which meet in a task of their own; ``same`` returns the positions of
     the likely pairs, so that no pairs are written which aren't.
     """
+    pairs, hot = _met(keys, most)
+    if hot.isEmpty():
+        return pairs
+    return pairs.unionByName(_across(hot, hot, members, same, block_rows)).distinct()
+
+
+def spanning_links(keys: DataFrame, members: DataFrame, same, verify: Callable[[DataFrame], DataFrame], most: int = 64, block_rows: int = 512, rounds: int = 3) -> DataFrame:
+    """Verified links ``a, b`` of uids that share a key: enough of them to connect whatever all of them connect.
+
+    The rows of a key with more than ``most`` are first compared with one of them, ``rounds`` times; those that are linked to
+    it need no links among each other. What is linked to none is then compared with all rows of the key, in blocks
+    (``candidate_pairs``). A key whose rows are near copies of each other costs its rows, not their pairs.
+    """
+    pairs, hot = _met(keys, most)
+    links = verify(pairs)
+    rest = hot
+    for _ in range(rounds):
+        if rest.isEmpty():
+            return links
+        star = rest.join(rest.groupBy("key").agg(F.min("uid").alias("hub")), "key").where("uid != hub")
+        linked = cut(verify(star.select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()))
+        links = links.unionByName(linked)
+        rest = cut(star.join(linked.select(F.col("a").alias("hub"), F.col("b").alias("uid")), ["hub", "uid"], "left_anti").select("key", "uid"))
+    return links if rest.isEmpty() else links.unionByName(verify(_across(rest, hot, members, same, block_rows).distinct()))
+
+
+def _met(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a, b`` of the uids of keys with at most ``most`` rows, and ``key, uid`` of the others."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_key, rest_uid = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -153,24 +181,30 @@ def candidate_pairs(keys: DataFrame, members: DataFrame, same: Callable[[pa.Tabl
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = cut(keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a BIGINT, b BIGINT, hot BOOLEAN").distinct())
-    pairs = met.where("NOT hot").select("a", "b")
-    hot = met.where("hot").select(F.col("b").alias("key"), F.col("a").alias("uid"))
-    if hot.isEmpty():
-        return pairs
+    return met.where("NOT hot").select("a", "b"), met.where("hot").select(F.col("b").alias("key"), F.col("a").alias("uid"))
+
+
+def _across(some: DataFrame, hot: DataFrame, members: DataFrame, same, block_rows: int) -> DataFrame:
+    """Likely pairs ``a < b`` of the rows ``some`` of keys with all rows ``hot`` of the same keys, block by block; both are
+    ``key, uid``."""
     blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-    placed = hot.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(members, "uid")
-    placed = placed.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+    few = some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("asking"))
+    number = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = blocks.join(few, "key")
+    left = some.join(sizes, "key").select("key", "uid", number("asking").alias("x"), every("parts").alias("y"), F.lit(True).alias("asks"))
+    right = hot.join(sizes, "key").select("key", "uid", every("asking").alias("x"), number("parts").alias("y"), F.lit(False).alias("asks"))
+    placed = left.unionByName(right).join(members, "uid")
 
     def blocked(t: pa.Table) -> pa.Table:
-        mine = np.asarray(t["mine"]) == np.asarray(t["x"])
-        left, right = t.filter(pa.array(mine)), t.filter(pa.array(np.asarray(t["mine"]) == np.asarray(t["y"])))
+        asks = np.asarray(t["asks"])
+        left, right = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
         i, j = same(left, right)
         a, b = np.asarray(left["uid"])[i], np.asarray(right["uid"])[j]
         keep = a != b
         return pa.table({"a": pa.array(np.minimum(a, b)[keep], pa.int64()), "b": pa.array(np.maximum(a, b)[keep], pa.int64())})
 
-    return pairs.unionByName(placed.groupBy("key", "x", "y").applyInArrow(blocked, "a BIGINT, b BIGINT")).distinct()
+    return placed.groupBy("key", "x", "y").applyInArrow(blocked, "a BIGINT, b BIGINT")
 
 
 def _copies(df: DataFrame, column: str) -> DataFrame:
@@ -184,8 +218,9 @@ def _numbered(df: DataFrame, copies: DataFrame) -> DataFrame:
     return cut(df.join(copies.where("id != rep").select("id"), "id", "left_anti").withColumn("uid", F.monotonically_increasing_id()))
 
 
-def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int) -> DataFrame:
-    """Pairs ``a, b`` of uids whose word sequences have a Jaccard similarity of at least ``least``. texts: ``uid, words``.
+def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int, spanning: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of uids whose word sequences have a Jaccard similarity of at least ``least``; with ``spanning`` only as
+    many as connect the same texts. texts: ``uid, words``.
 
     Minima of ``bands * rows`` universal hashes; a pair of similarity ``s`` meets with probability
     ``1 - (1 - s^rows)^bands``. Pairs that meet are verified by their signatures (four standard deviations below
@@ -233,13 +268,14 @@ def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int
         near = [np.nonzero((full[1] == row).mean(axis=1) >= slack)[0] for row in full[0]]
         return np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
 
-    pairs = candidate_pairs(texts.select("uid", "words").mapInArrow(keys, "key BIGINT, uid BIGINT"), texts.select("uid", "words"), same)
     x, y = texts.select(F.col("uid").alias("a"), F.col("words").alias("x")), texts.select(F.col("uid").alias("b"), F.col("words").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a BIGINT, b BIGINT")
+    verified = lambda pairs: pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a BIGINT, b BIGINT")
+    keyed, members = texts.select("uid", "words").mapInArrow(keys, "key BIGINT, uid BIGINT"), texts.select("uid", "words")
+    return spanning_links(keyed, members, same, verified) if spanning else verified(candidate_pairs(keyed, members, same))
 
 
-def vector_links(vectors: DataFrame, least: float, bands: int, bits: int, seed: int = 3) -> DataFrame:
-    """Pairs ``a, b`` of uids whose vectors have a cosine of at least ``least``. vectors: ``uid, v``.
+def vector_links(vectors: DataFrame, least: float, bands: int, bits: int, seed: int = 3, spanning: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of uids whose vectors have a cosine of at least ``least``, see ``text_links``. vectors: ``uid, v``.
 
     The signature is the signs of ``bands * bits`` random projections; pairs with an equal band are verified in double.
     """
@@ -263,9 +299,10 @@ def vector_links(vectors: DataFrame, least: float, bands: int, bits: int, seed:
     def same(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.nonzero(unit(matrix(left["v"])) @ unit(matrix(right["v"])).T >= least - 1e-9)
 
-    pairs = candidate_pairs(vectors.select("uid", "v").mapInArrow(keys, "key BIGINT, uid BIGINT"), vectors.select("uid", "v"), same)
     x, y = vectors.select(F.col("uid").alias("a"), F.col("v").alias("x")), vectors.select(F.col("uid").alias("b"), F.col("v").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a BIGINT, b BIGINT")
+    verified = lambda pairs: pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a BIGINT, b BIGINT")
+    keyed, members = vectors.select("uid", "v").mapInArrow(keys, "key BIGINT, uid BIGINT"), vectors.select("uid", "v")
+    return spanning_links(keyed, members, same, verified) if spanning else verified(candidate_pairs(keyed, members, same))
 
 
 def near_duplicate_groups(
@@ -295,8 +332,8 @@ def near_duplicate_groups(
     same_text, same_vector = cut(_copies(words, "words")), cut(_copies(plain, "v"))
     texts, vectors = _numbered(words, same_text), _numbered(plain, same_vector)
     shift = 1 << 62  # uids of texts and vectors come from two counters
-    links = text_links(texts, width, text_similarity, bands, rows).unionByName(
-        vector_links(vectors, vector_similarity, sign_bands, sign_bits).select((F.col("a") + shift).alias("a"), (F.col("b") + shift).alias("b"))
+    links = text_links(texts, width, text_similarity, bands, rows, True).unionByName(
+        vector_links(vectors, vector_similarity, sign_bands, sign_bits, spanning=True).select((F.col("a") + shift).alias("a"), (F.col("b") + shift).alias("b"))
     )
     comps = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     names = texts.select("uid", "id").unionByName(vectors.select((F.col("uid") + shift).alias("uid"), "id"))

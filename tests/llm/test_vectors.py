@@ -227,6 +227,27 @@ def test_hot_bands_are_compared_in_blocks(spark):
     assert links == sum(len(a & b) >= 0.8 * len(a | b) for n, a in enumerate(sets) for b in sets[n + 1 :])
 
 
+def test_one_template_needs_few_links(spark):
+    rng = np.random.default_rng(19)
+    base, other = words(rng, 60).split(), words(rng, 60).split()
+    texts = []
+    for i in range(400):
+        t = list(base if i % 10 else other)
+        for k in rng.integers(0, 60, 1 if i % 4 else 5):
+            t[int(k)] = f"y{i}{k}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "uid BIGINT, words STRING")
+    few, every = (nd.text_links(df, 3, 0.6, 40, 3, s).distinct().cache() for s in (True, False))
+    groups = [{(r["node"], r["component"]) for r in components.connected_components(x.select(F.col("a").alias("u"), F.col("b").alias("v"))).collect()} for x in (few, every)]
+    assert groups[0] == groups[1] and few.count() < every.count() / 3
+    # A key that brings unlike texts together: nothing is lost among those that aren't like the first.
+    keys = df.select(F.lit(5).cast("bigint").alias("key"), "uid")
+    alike = lambda x, y: np.nonzero((np.array(x["uid"])[:, None] % 7) == (np.array(y["uid"])[None] % 7))
+    got = nd.spanning_links(keys, df, alike, lambda p: p.where("a % 7 = b % 7"), most=20, block_rows=40)
+    c = components.connected_components(got.select(F.col("a").alias("u"), F.col("b").alias("v"))).collect()
+    assert len(c) == 400 and all(r["component"] == r["node"] % 7 for r in c)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id STRING, text STRING, vector ARRAY<FLOAT>")
     assert nd.group_pairs(nd.near_duplicate_groups(df)).count() == 0
