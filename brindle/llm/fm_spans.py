@@ -144,8 +144,8 @@ class FMIndex:
         return at, lo, hi
 
 
-def shared_in_shard(doc: np.ndarray, start: np.ndarray, text: list[str], span: int, step: int, chunk: int = 200_000) -> tuple[set, list]:
-    """Pairs of documents that share a span, and the places of the spans: ``(doc_a, doc_b)``, ``(doc, start, end)``.
+def shared_in_shard(doc: np.ndarray, start: np.ndarray, text: list[str], span: int, step: int, with_pairs: bool = True, chunk: int = 200_000) -> tuple[set, list]:
+    """Pairs of documents that share a span (if asked for), and the places of the spans: ``(doc_a, doc_b)``, ``(doc, start, end)``.
 
     doc, start, text: stretches of documents; of one document they may overlap."""
     order = np.lexsort((start, doc))
@@ -167,7 +167,8 @@ def shared_in_shard(doc: np.ndarray, start: np.ndarray, text: list[str], span: i
     for t in stretches:
         docs = sorted({d for d, _ in where[t]})
         if len(docs) > 1:
-            pairs.update((x, y) for n, x in enumerate(docs) for y in docs[n + 1 :])
+            if with_pairs:
+                pairs.update((x, y) for n, x in enumerate(docs) for y in docs[n + 1 :])
             spans.extend((d, a, a + len(t)) for d, a in where[t])
     if len(stretches) < 2:
         return pairs, spans
@@ -213,7 +214,7 @@ def shared_in_shard(doc: np.ndarray, start: np.ndarray, text: list[str], span: i
                 if any(other != d for other, _ in where[stretches[y]]):
                     spans.append((d, base + a, base + b))
         done = upto
-    for both in found:
+    for both in found if with_pairs else ():
         for x, _ in where[stretches[both // len(size)]]:
             for y, _ in where[stretches[both % len(size)]]:
                 if x != y:
@@ -240,6 +241,7 @@ def shared_spans(
     hot: int = 64,
     shard_chars: int = 1_000_000,
     block_rows: int = 2000,
+    with_pairs: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What distinct texts share: pairs ``doc_a, doc_b`` of representatives with a common substring of at least ``span``
     characters; merged ``doc_id, start, stop`` of all such substrings in them; and ``id, rep`` of texts with copies.
@@ -248,7 +250,8 @@ def shared_spans(
     NULL texts, texts shorter than ``span`` and rows without doc_id share nothing. An anchor in more than ``hot`` documents
     is replaced by longer ones around it (``refined`` characters, at every place that a span through the anchor can begin,
     in steps), so that a common block shorter than that brings nothing together. A longer anchor that still has more than
-    ``block_rows`` stretches is divided into blocks of which every two meet in a task of their own.
+    ``block_rows`` stretches is divided into blocks of which every two meet in a task of their own. Without ``with_pairs``
+    there are no pairs, whose number grows with the square of the documents that have a block of text in common.
     """
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").where(F.length("text") >= span).select(F.col("doc_id").cast("bigint").alias("id"), "text")
     copies = cut(_copies(docs, "text"))
@@ -294,7 +297,7 @@ def shared_spans(
     large = large.select(F.col("key").alias("shard"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id", "begin", "text")
 
     def meet(t: pa.Table) -> pa.Table:
-        pairs, spans = shared_in_shard(np.asarray(t["id"]), np.asarray(t["begin"]), t["text"].to_pylist(), span, step)
+        pairs, spans = shared_in_shard(np.asarray(t["id"]), np.asarray(t["begin"]), t["text"].to_pylist(), span, step, with_pairs)
         spans = _merge_spans(spans)
         rows = [(0, a, b, None) for a, b in pairs] + [(1, d, a, b) for d, a, b in spans]
         cols = list(zip(*rows)) if rows else [[]] * 4

@@ -140,14 +140,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document recurs in others."""
     docs = table(spark, d, "documents")
-    _, spans, copies = fm.shared_spans(docs)
+    _, spans, copies = fm.shared_spans(docs, with_pairs=False)
     return fm.shared_parts(docs, spans, copies)
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """The stretches of each document that recur in others."""
     docs = table(spark, d, "documents")
-    _, spans, copies = fm.shared_spans(docs)
+    _, spans, copies = fm.shared_spans(docs, with_pairs=False)
     return fm.shared_stretches(docs, spans, copies)
 
 
