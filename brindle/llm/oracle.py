@@ -49,6 +49,13 @@ _TEXTS = (
 )
 
 
+_SPANS = (
+    "s AS (SELECT doc_id, i, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)), "
+    "m AS (SELECT h FROM s GROUP BY h HAVING count(DISTINCT doc_id) > 1), k AS (SELECT doc_id, i FROM s SEMI JOIN m USING (h)), "
+    "j AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 300 THEN 0 ELSE 1 END AS f FROM k), "
+    "n AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM j), sp AS (SELECT doc_id, min(i) - 1 AS start, max(i) + 299 AS stop FROM n GROUP BY doc_id, nth)"
+)
+
 _NEAR = (
     _VECTORS.replace("SELECT id, collection_name,", "SELECT id, collection_name, mmap_index,", 1)
     + ", s AS (SELECT a.id, b.id AS neighbour, list_cosine_similarity(a.v, b.v) AS similarity FROM rec a JOIN rec b ON a.collection_name = b.collection_name AND a.id <> b.id WHERE a.mmap_index % 20 = 0), "
@@ -69,6 +76,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs('doc_id', 'text', 'documents', 10)}) JOIN ({_runs('item_id', 'passage', 'eval_passages', 10)}) USING (run)",
         "p6_leaks": f"WITH i AS ({_runs('item_id', 'passage', 'eval_passages', 10).replace('SELECT DISTINCT', 'SELECT', 1)}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), d AS ({_runs('doc_id', 'text', 'documents', 10)}), "
         "c AS (SELECT doc_id, item_id, count(*) AS runs FROM d JOIN i USING (run) GROUP BY ALL) SELECT doc_id, item_id, runs, round(runs / n, 6) AS share FROM c JOIN n USING (item_id)",
+        "p8_spans": f"WITH {_SPANS} SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS stop FROM sp",
+        "p8_shared": f"WITH {_SPANS}, a AS (SELECT doc_id, sum(stop - start) AS c, count(*) AS n FROM sp GROUP BY doc_id) SELECT doc_id, coalesce(length(text), 0)::BIGINT AS chars, coalesce(c, 0)::BIGINT AS shared_chars, "
+        "coalesce(n, 0)::BIGINT AS spans, CASE WHEN length(text) > 0 THEN round(coalesce(c, 0) / length(text), 6) ELSE 0.0 END::DOUBLE AS share FROM documents LEFT JOIN a USING (doc_id)",
         "p8_found": "WITH s AS (SELECT DISTINCT doc_id, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)), "
         "m AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1), k AS (SELECT doc_id, h FROM s SEMI JOIN m USING (h)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id",
     }
