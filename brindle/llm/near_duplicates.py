@@ -126,24 +126,35 @@ def candidate_pairs(keys: DataFrame, members: DataFrame, same: Callable[[pa.Tabl
     return pairs.unionByName(_across(hot, hot, members, same, block_rows)).distinct()
 
 
-def spanning_links(keys: DataFrame, members: DataFrame, same, verify: Callable[[DataFrame], DataFrame], most: int = 64, block_rows: int = 512, rounds: int = 3) -> DataFrame:
+def spanning_links(keys: DataFrame, members: DataFrame, same, verify: Callable[[DataFrame], DataFrame], most: int = 64, block_rows: int = 512, rounds: int = 3, certain: Callable[[pa.Table, pa.Table], Callable[[int, int], bool]] | None = None) -> DataFrame:
     """Verified links ``a, b`` of uids that share a key: enough of them to connect whatever all of them connect.
 
-    The rows of a key with more than ``most`` are first compared with one of them, ``rounds`` times; those that are linked to
-    it need no links among each other. What is linked to none is then compared with all rows of the key, in blocks
-    (``candidate_pairs``). A key whose rows are near copies of each other costs its rows, not their pairs.
+    The rows of a key with more than ``most`` are first compared with one of them, ``rounds`` times, which leaves few that
+    aren't connected. Two rows of a key that all links so far leave in different components are then compared, in blocks,
+    whatever one they were linked to; rows of one component need no further links. ``certain`` gives, for two blocks, a test
+    of a pair of positions, with which a block writes no more pairs than connect its components. A key whose rows are near
+    copies of each other costs its rows, not their pairs.
     """
     pairs, hot = _met(keys, most)
     links = verify(pairs)
     rest = hot
-    for _ in range(rounds):
+    for turn in range(rounds):
         if rest.isEmpty():
-            return links
+            if turn <= 1:  # all rows of a key are linked to the same one
+                return links
+            break
         star = rest.join(rest.groupBy("key").agg(F.min("uid").alias("hub")), "key").where("uid != hub")
         linked = cut(verify(star.select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()))
         links = links.unionByName(linked)
         rest = cut(star.join(linked.select(F.col("a").alias("hub"), F.col("b").alias("uid")), ["hub", "uid"], "left_anti").select("key", "uid"))
-    return links if rest.isEmpty() else links.unionByName(verify(_across(rest, hot, members, same, block_rows).distinct()))
+    links = cut(links)
+    known = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "uid")
+    hot = cut(hot.join(known, "uid", "left").select("key", "uid", F.coalesce("component", "uid").alias("component")))
+    of_key = hot.groupBy("key").agg(F.mode("component", True).alias("common"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    apart = cut(hot.join(of_key.where("lo != hi").select("key", "common"), "key"))
+    if apart.isEmpty():
+        return links
+    return links.unionByName(verify(_across(apart.where("component != common").drop("common"), apart.drop("common"), members, same, block_rows, certain).distinct()))
 
 
 def _met(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -184,22 +195,28 @@ def _met(keys: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return met.where("NOT hot").select("a", "b"), met.where("hot").select(F.col("b").alias("key"), F.col("a").alias("uid"))
 
 
-def _across(some: DataFrame, hot: DataFrame, members: DataFrame, same, block_rows: int) -> DataFrame:
+def _across(some: DataFrame, hot: DataFrame, members: DataFrame, same, block_rows: int, certain=None) -> DataFrame:
     """Likely pairs ``a < b`` of the rows ``some`` of keys with all rows ``hot`` of the same keys, block by block; both are
-    ``key, uid``."""
+    ``key, uid`` or ``key, uid, component``. With components, a block gives pairs of different ones, only certain ones
+    and as many as connect what these connect if there is a test."""
+    own = [c for c in hot.columns if c == "component"]
     blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     few = some.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("asking"))
     number = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = blocks.join(few, "key")
-    left = some.join(sizes, "key").select("key", "uid", number("asking").alias("x"), every("parts").alias("y"), F.lit(True).alias("asks"))
-    right = hot.join(sizes, "key").select("key", "uid", every("asking").alias("x"), number("parts").alias("y"), F.lit(False).alias("asks"))
+    left = some.join(sizes, "key").select("key", "uid", *own, number("asking").alias("x"), every("parts").alias("y"), F.lit(True).alias("asks"))
+    right = hot.join(sizes, "key").select("key", "uid", *own, every("asking").alias("x"), number("parts").alias("y"), F.lit(False).alias("asks"))
     placed = left.unionByName(right).join(members, "uid")
 
     def blocked(t: pa.Table) -> pa.Table:
         asks = np.asarray(t["asks"])
         left, right = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
         i, j = same(left, right)
+        if own:
+            x, y = np.asarray(left["component"])[i], np.asarray(right["component"])[j]
+            n = np.nonzero(x != y)[0] if certain is None else _joining(i, j, x, y, certain(left, right))
+            i, j = i[n], j[n]
         a, b = np.asarray(left["uid"])[i], np.asarray(right["uid"])[j]
         keep = a != b
         return pa.table({"a": pa.array(np.minimum(a, b)[keep], pa.int64()), "b": pa.array(np.maximum(a, b)[keep], pa.int64())})
@@ -207,6 +224,24 @@ def _across(some: DataFrame, hot: DataFrame, members: DataFrame, same, block_row
     return placed.groupBy("key", "x", "y").applyInArrow(blocked, "a BIGINT, b BIGINT")
 
 
+def _joining(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, certain: Callable[[int, int], bool]) -> np.ndarray:
+    """Places of certain pairs ``i, j`` of rows of the components ``x, y`` that join all components that certain pairs join."""
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (above := up.get(c, c)) != c:
+            up[c] = c = up.get(above, above)
+        return c
+
+    keep = []
+    for n in np.nonzero(x != y)[0].tolist():
+        p, q = top(int(x[n])), top(int(y[n]))
+        if p != q and certain(int(i[n]), int(j[n])):
+            up[p] = q
+            keep.append(n)
+    return np.array(keep, np.int64)
+
+
 def _copies(df: DataFrame, column: str) -> DataFrame:
     """``id, rep`` of records with equal content; rep is the class's least id. Records without copy get no row."""
     keyed = df.select("id", F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(1), column).alias("h2"))
@@ -237,6 +272,10 @@ def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int
                 key = band_keys(sig, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(b.column("uid"))[has], key.shape[1]))], names=["key", "uid"])
 
+    def overlap(p: np.ndarray, q: np.ndarray) -> bool:
+        common = len(np.intersect1d(p, q, assume_unique=True))
+        return common >= least * (len(p) + len(q) - common) - 1e-9
+
     def alike(x: list[str], y: list[str], shingles: Shingler) -> np.ndarray:
         h, at = shingles(x + y)
         n = len(x)
@@ -246,9 +285,7 @@ def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int
         sizes = np.diff(at)
         ok = (sizes[:n] > 0) & (sizes[n:] > 0) & ((full[:n] == full[n:]).mean(axis=1) >= slack)
         for i in np.nonzero(ok)[0]:
-            p, q = h[at[i] : at[i + 1]], h[at[n + i] : at[n + i + 1]]
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            ok[i] = common >= least * (len(p) + len(q) - common) - 1e-9
+            ok[i] = overlap(h[at[i] : at[i + 1]], h[at[n + i] : at[n + i + 1]])
         return ok
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +305,15 @@ def text_links(texts: DataFrame, width: int, least: float, bands: int, rows: int
         near = [np.nonzero((full[1] == row).mean(axis=1) >= slack)[0] for row in full[0]]
         return np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
 
+    def certain(left: pa.Table, right: pa.Table) -> Callable[[int, int], bool]:
+        shingles = Shingler(width)
+        (h, at), (g, to) = (shingles(t["words"].to_pylist()) for t in (left, right))
+        return lambda i, j: overlap(h[at[i] : at[i + 1]], g[to[j] : to[j + 1]])
+
     x, y = texts.select(F.col("uid").alias("a"), F.col("words").alias("x")), texts.select(F.col("uid").alias("b"), F.col("words").alias("y"))
     verified = lambda pairs: pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a BIGINT, b BIGINT")
     keyed, members = texts.select("uid", "words").mapInArrow(keys, "key BIGINT, uid BIGINT"), texts.select("uid", "words")
-    return spanning_links(keyed, members, same, verified) if spanning else verified(candidate_pairs(keyed, members, same))
+    return spanning_links(keyed, members, same, verified, certain=certain) if spanning else verified(candidate_pairs(keyed, members, same))
 
 
 def vector_links(vectors: DataFrame, least: float, bands: int, bits: int, seed: int = 3, spanning: bool = False) -> DataFrame:
@@ -299,10 +341,14 @@ def vector_links(vectors: DataFrame, least: float, bands: int, bits: int, seed:
     def same(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.nonzero(unit(matrix(left["v"])) @ unit(matrix(right["v"])).T >= least - 1e-9)
 
+    def certain(left: pa.Table, right: pa.Table) -> Callable[[int, int], bool]:
+        p, q = unit(matrix(left["v"])), unit(matrix(right["v"]))
+        return lambda i, j: np.einsum("nd,nd->n", p[i : i + 1], q[j : j + 1])[0] >= least - 1e-12
+
     x, y = vectors.select(F.col("uid").alias("a"), F.col("v").alias("x")), vectors.select(F.col("uid").alias("b"), F.col("v").alias("y"))
     verified = lambda pairs: pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a BIGINT, b BIGINT")
     keyed, members = vectors.select("uid", "v").mapInArrow(keys, "key BIGINT, uid BIGINT"), vectors.select("uid", "v")
-    return spanning_links(keyed, members, same, verified) if spanning else verified(candidate_pairs(keyed, members, same))
+    return spanning_links(keyed, members, same, verified, certain=certain) if spanning else verified(candidate_pairs(keyed, members, same))
 
 
 def near_duplicate_groups(

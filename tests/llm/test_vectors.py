@@ -248,6 +248,21 @@ def test_one_template_needs_few_links(spark):
     assert len(c) == 400 and all(r["component"] == r["node"] % 7 for r in c)
 
 
+@pytest.mark.parametrize("bands,bits", [(1, 1), (4, 1), (3, 2)])
+def test_rows_linked_to_different_hubs_are_connected(spark, bands, bits):
+    """Neighbours along an arc: all rows of a band are connected, few of them to the same one."""
+    e = np.linalg.qr(np.random.default_rng(31).standard_normal((64, 2)))[0].T
+    angle = np.linspace(0, np.pi / 2, 400)
+    v = np.cos(angle)[:, None] * e[0] + np.sin(angle)[:, None] * e[1]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "uid BIGINT, v ARRAY<FLOAT>")
+
+    def parts(spanning):
+        links = nd.vector_links(df, 0.98, bands, bits, spanning=spanning)
+        return {r["node"]: r["component"] for r in components.connected_components(links.toDF("u", "v")).collect()}
+
+    assert parts(True) == parts(False)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id STRING, text STRING, vector ARRAY<FLOAT>")
     assert nd.group_pairs(nd.near_duplicate_groups(df)).count() == 0
