@@ -314,6 +314,32 @@ def test_recall_of_divided_groups(spark):
     assert r["asked"] == 180 and r["expected"] == 900 and r["hit"] >= 0.9 * 900
 
 
+def test_rows_sent_do_not_grow_with_the_cells(spark):
+    """Parts, pieces of a part and queries from other parts give the pairs of brute force; no row is sent to every cell."""
+    rng = np.random.default_rng(33)
+    x, _ = clusters(rng, [500] * 4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::5] = x[1::5] + 0.3 * rng.standard_normal((400, 64)) / 8
+    x[:300] = x[0] + 0.3 * rng.standard_normal((300, 64)) / 8
+    ids = [f"r{i:04d}" for i in range(2000)]
+    s, best = exact(x, 5)
+    df = frame(spark, [(i, "c", v.tolist()) for i, v in zip(ids, x)])
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() > before)
+
+    before = -1
+    for cells in (256, 16):
+        stages = store.stageList(sc._jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        before = max((stages.apply(i).stageId() for i in range(stages.size())), default=-1)
+        got = {(r["id"], r["neighbour"]) for r in aq_knn.nearest(df, 5, min_similarity=0.9, block_rows=50, cells=cells).collect()}
+        assert got == {(ids[i], ids[j]) for i in range(2000) for j in best[i] if s[i, j] >= 0.9}
+        assert written() < 15 * 2000
+
+
 def test_cells_that_are_left_out_hold_nothing_similar():
     x, _ = clusters(np.random.default_rng(14), [300] * 6)
     x = np.concatenate([x, x[:200] + 0.3 * np.random.default_rng(15).standard_normal((200, 64)) * np.linalg.norm(x[:200], axis=1, keepdims=True) / 8])
