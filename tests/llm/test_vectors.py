@@ -66,6 +66,40 @@ def test_clusters_of_a_small_share(spark):
     assert len(got) == 751 and all(len(n) == 1 for n in names) and len(set().union(*names)) == 5 and None not in set().union(*names)
 
 
+def test_clusters_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(18)
+    x, _ = clusters(rng, [260, 120, 40, 6, 2], noise=0.95)
+    rows = [(f"r{i:04d}", "c", v.tolist()) for i, v in enumerate(np.concatenate([x, rng.standard_normal((60, 64)), np.repeat(x[:1], 5, axis=0)]))]
+    got = [{tuple(r) for r in dp.density_peaks(frame(spark, rows), block_rows=b).select("id", "cluster_id", F.round("similarity", 9)).collect()} for b in (2048, 90)]
+    assert len(got[0]) == 493 and got[0] == got[1]
+
+
+def test_density_and_denser_against_brute_force():
+    rng = np.random.default_rng(19)
+    x = np.concatenate([clusters(rng, [900, 300, 100])[0], rng.standard_normal((40, 64))])
+    x = np.concatenate([x, x[:30]])
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    whole = np.rint(u * dp.SCALE).astype(np.float64)
+    s, n, cut = whole @ whole.T / dp.SCALE**2, len(u), 700
+    near = (s >= 0.45) & (s < 0.9)
+    parts = [(u[:cut], u[cut:]), (u[cut:], u[:cut]), (u[:cut], u[:cut]), (u[cut:], u[cut:])]
+    (d1, t1), (d2, t2), (d3, t3), (d4, t4) = [dp.densities(a, b, 0.45, 0.9) for a, b in parts]
+    density = np.r_[d1 + d3, d2 + d4]
+    assert np.array_equal(density, np.where(near, np.floor(s * dp.STEPS), 0).sum(axis=1))
+    total = np.r_[t1 + t3, t2 + t4]
+    assert np.array_equal(total, near.astype(np.float64) @ np.rint(u * dp.FINE).astype(np.float64))
+    around = total + u * dp.FINE
+    around = (around / np.linalg.norm(around, axis=1, keepdims=True)).astype(np.float32)
+    agree = around.astype(np.float64) @ around.T.astype(np.float64) >= 0.7
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), -density))] = np.arange(n)
+    best, to = dp.denser(u, u, True, rank, 0.55, around, 0.7)
+    for i in range(n):
+        allowed = [j for j in np.nonzero((rank < rank[i]) & (s[i] >= 0.55) & agree[i])[0]]
+        j = min(allowed, key=lambda j: (-s[i, j], rank[j]), default=None)
+        assert to[i] == (-1 if j is None else rank[j]) and best[i] == (-1 if j is None else s[i, j] * dp.SCALE**2)
+
+
 def test_density_peaks_of_little(spark):
     none = dp.density_peaks(frame(spark, []))
     assert none.count() == 0 and dp.describe_clusters(none).count() == 0
