@@ -100,6 +100,38 @@ def test_density_and_denser_against_brute_force():
         assert to[i] == (-1 if j is None else rank[j]) and best[i] == (-1 if j is None else s[i, j] * dp.SCALE**2)
 
 
+def test_confirmed_clusters_are_not_compared_in_pairs(spark, monkeypatch):
+    """Only a sample and what is in no confirmed cluster are compared all with all; a cluster that the sample misses is found."""
+    rng = np.random.default_rng(20)
+    x, _ = clusters(rng, [1200, 900, 600, 12, 5], noise=0.6)
+    rows = [(f"r{i:04d}", "c", v.tolist()) for i, v in enumerate(np.concatenate([x, rng.standard_normal((100, 64))]))]
+    compared, pointers = [], dp._pointers
+    monkeypatch.setattr(dp, "_pointers", lambda df, n, *args: compared.append(n) or pointers(df, n, *args))
+
+    def found(**kwargs):
+        compared.clear()
+        got = {r["id"]: r["cluster_id"] for r in dp.density_peaks(frame(spark, rows), block_rows=150, **kwargs).collect()}
+        return got, sum(n * n for n in compared)
+
+    whole, _ = found()
+    names = [{whole[f"r{i:04d}"] for i in range(a, b)} for a, b in ((0, 1200), (1200, 2100), (2100, 2700), (2700, 2712), (2712, 2717))]
+    assert all(len(n) == 1 for n in names) and len(set().union(*names)) == 5 and None not in set().union(*names)
+    for some in (300, 700):
+        got, pairs = found(sample_rows=some)
+        assert got == whole and pairs < 2817**2 / 4
+
+
+def test_clusters_that_records_leave_open_are_compared_in_pairs(spark, monkeypatch):
+    """Records lie about the limit of every cluster, so none is confirmed, and the sample decides nothing."""
+    rng = np.random.default_rng(21)
+    x, _ = clusters(rng, [500, 400], noise=1.4)
+    df = frame(spark, [(f"r{i:04d}", "c", v.tolist()) for i, v in enumerate(x)])
+    compared, pointers = [], dp._pointers
+    monkeypatch.setattr(dp, "_pointers", lambda df, n, *args: compared.append(n) or pointers(df, n, *args))
+    got = [{tuple(r) for r in dp.density_peaks(df, sample_rows=some).select("id", "cluster_id", F.round("similarity", 9)).collect()} for some in (200, 16_384)]
+    assert compared.count(900) == 3 and len(got[0]) == 900 and got[0] == got[1]
+
+
 def test_density_peaks_of_little(spark):
     none = dp.density_peaks(frame(spark, []))
     assert none.count() == 0 and dp.describe_clusters(none).count() == 0
