@@ -114,6 +114,7 @@ def test_confirmed_clusters_are_not_compared_in_pairs(spark, monkeypatch):
         return got, sum(n * n for n in compared)
 
     whole, _ = found()
+    assert compared.count(100) == 1  # what is in no cluster is compared once
     names = [{whole[f"r{i:04d}"] for i in range(a, b)} for a, b in ((0, 1200), (1200, 2100), (2100, 2700), (2700, 2712), (2712, 2717))]
     assert all(len(n) == 1 for n in names) and len(set().union(*names)) == 5 and None not in set().union(*names)
     for some in (300, 700):
@@ -132,6 +133,19 @@ def test_clusters_that_records_leave_open_are_compared_in_pairs(spark, monkeypat
     assert compared.count(900) == 3 and len(got[0]) == 900 and got[0] == got[1]
 
 
+def test_neighbours_of_few_are_added():
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((1500, 64))
+    x[1000:] = x[:500] + 0.8 * rng.standard_normal((500, 64))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    whole = np.rint(u * dp.SCALE).astype(np.float64)
+    s = whole @ whole.T / dp.SCALE**2
+    near = (s >= 0.45) & (s < 0.9)
+    d, total = dp.densities(u, u, 0.45, 0.9)
+    assert np.array_equal(d, np.where(near, np.floor(s * dp.STEPS), 0).sum(axis=1))
+    assert np.array_equal(total, near.astype(np.float64) @ np.rint(u * dp.FINE).astype(np.float64))
+
+
 def test_density_peaks_of_little(spark):
     none = dp.density_peaks(frame(spark, []))
     assert none.count() == 0 and dp.describe_clusters(none).count() == 0
